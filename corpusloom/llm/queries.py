@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusloom.llm import ann, mixing, simhash, tokens, warc
+from corpusloom.llm import ann, decontam, licenses, mixing, simhash, tokens, warc
 from corpusloom.llm.common import table
 
 
@@ -13,6 +14,18 @@ def op1_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(ann.build_index(vectors), vectors.where("vec_id % 20 = 0"), k=20)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree; one row per document."""
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select(licenses.document_path(F.col("source"), F.col("lang"), F.col("doc_id")).alias("path"), "text")
+    found = licenses.scan(files)
+    return found.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "path", "license", "origin", "cosine", "licensed_from")
+
+
+def op3_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -95,5 +108,78 @@ from h join o using (h)
 """
 
 
+def _templated(text: str) -> str:
+    for _ in range(2):
+        text = f"regexp_replace({text}, '{decontam.NAMES.replace(chr(39), chr(39) * 2)}', '\\1{decontam.NAME}', 'g')"
+    text = f"regexp_replace({text}, '{decontam.NUMBERS}', '{decontam.NUMBER}', 'g')"
+    text = f"regexp_replace(lower({text}), '{decontam.UNIT_AFTER}', '\\1{decontam.UNIT}\\3', 'g')"
+    return f"regexp_replace({text}, '{decontam.STRIP}', '', 'g')"
+
+
+def _words(text: str) -> str:
+    return f"list_filter(regexp_split_to_array({text}, '{decontam.SPACE}'), lambda w: w <> '')"
+
+
+def sql_op3() -> str:
+    """Windows as strings, joined one by one."""
+    lower = f"regexp_replace(lower(x), '{decontam.STRIP}', '', 'g')"
+
+    def side(table: str, key: str) -> str:
+        return f"""select k, n, pos, case when n >= 5 then array_to_string(t[pos + 1:pos + 5], ' ') else n || '|' || array_to_string(t, ' ') end as h,
+          t[pos + 1:pos + 5] as w, v[pos + 1:pos + 5] as v
+        from (select *, len(t) as n, unnest(range(0, greatest(len(t) - 4, 1))) as pos
+          from (select {key} as k, {_words(_templated("x"))} as t, {_words(lower)} as v from (select {key}, coalesce(text, '') as x from {table} where {key} is not null)) where len(t) > 0)"""
+
+    slot = f"w[i] in ('{decontam.NUMBER}', '{decontam.NAME}', '{decontam.UNIT}')"
+    return f"""
+with b0 as ({side("benchmark", "item_id")}),
+b1 as (select k as item_id, h, pos as ipos, w, v as iv, n, len(list_filter(range(1, len(w) + 1), lambda i: {slot})) as slots from b0),
+b2 as (select distinct item_id, h, ipos, w, iv, count(distinct ipos) over (partition by item_id) as total from b1 where n < 5 or len(w) - slots >= 3),
+d as ({side("documents", "doc_id")}),
+m as (select d.k as doc_id, item_id, total, pos - ipos as diag, ipos,
+  list_filter(list_transform(range(1, len(b2.w) + 1), lambda i: case when {slot.replace("w[", "b2.w[")} then [iv[i], d.v[i]] end), lambda p: p is not null) as p from d join b2 on d.h = b2.h),
+l as (select doc_id, item_id, diag, any_value(total) as total, list(distinct ipos) as hit, list_distinct(flatten(list(p))) as p from m group by all),
+l2 as (select *, len(list_filter(p, lambda y: y[1] <> y[2])) > 0 as moved from l
+  where len(p) = len(list_distinct(list_transform(p, lambda y: y[1]))) and len(p) = len(list_distinct(list_transform(p, lambda y: y[2])))),
+i as (select doc_id, item_id, any_value(total)::bigint as n_windows, len(list_distinct(flatten(list(hit))))::bigint as n_matched, bool_or(moved) as moved from l2 group by doc_id, item_id)
+select doc_id, item_id, n_windows, n_matched, n_matched::double / n_windows as coverage, case when moved then 'reparameterised' else 'verbatim' end as kind
+from i where n_matched::double / n_windows >= 0.8
+"""
+
+
+def sql_op2() -> str:
+    """The same vectors over all lines, without the anchors."""
+    known = ", ".join(f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate(licenses.TEMPLATES))
+    terms = f"regexp_extract_all(lower({{}}), '{licenses.TERM}')"
+    return f"""
+with known(template, license, text) as (values {known}),
+f as (select doc_id, '/' || coalesce(source, '_') || '/' || coalesce(lang, '_') || case when doc_id % 10 = 0 then '' else '/' || (doc_id // 100)::varchar end as dir, text from documents),
+kt as (select template, license, unnest({terms.format("text")}) as term from known),
+kv as (select template, license, term, count(*) as tf from kt group by all),
+df as (select term, count(*) as df from (select doc_id, unnest(list_distinct({terms.format("text")})) as term from f) where term in (select term from kv) group by term),
+idf as (select term, ln((1.0 + (select count(*) from f)) / (1.0 + coalesce(df, 0))) + 1.0 as idf from (select distinct term from kv) left join df using (term)),
+rare as (select ln(1.0 + (select count(*) from f)) + 1.0 as idf),
+kw as (select template, license, term, tf * idf as w from kv join idf using (term)),
+kn as (select *, w / sqrt(sum(w * w) over (partition by template)) as tw from kw),
+ln0 as (select doc_id, len({terms.format("text")}) as file_terms, unnest(string_split(text, chr(10))) as own, generate_subscripts(string_split(text, chr(10)), 1) as line from f),
+lt as (select doc_id, line, file_terms, len({terms.format("own")}) as line_terms, unnest({terms.format("own")}) as term from ln0),
+tf as (select doc_id, line, file_terms, line_terms, term, count(*) as tf from lt group by all),
+tw as (select tf.*, tf * coalesce(idf.idf, rare.idf) as w from tf left join idf using (term) cross join rare),
+own as (select doc_id, line, file_terms, line_terms, sqrt(sum(w * w)) as norm from tw group by all),
+dot as (select doc_id, line, template, license, sum(tw.w * kn.tw) as dot from tw join kn using (term) group by all),
+best as (select doc_id, line, file_terms, line_terms, template, license, round(dot / norm, 6) as cosine from dot join own using (doc_id, line) where round(dot / norm, 6) >= {licenses.COSINE}),
+top as (select * from best qualify row_number() over (partition by doc_id, line order by cosine desc, template) = 1),
+per as (select doc_id, sum(line_terms) / max(file_terms) as share, max([cosine, -line]) as b from top group by doc_id),
+lic as (select per.doc_id, top.license as own, top.cosine, case when share >= {licenses.FILE_SHARE} then 'file' else 'header' end as kind from per join top on top.doc_id = per.doc_id and top.line = -b[2]),
+votes as (select dir, own, count(*) as n from lic join f using (doc_id) where kind = 'file' group by all),
+held as (select * from votes qualify row_number() over (partition by dir order by n desc, own) = 1),
+up as (select d.dir, held.dir as above, held.own as passed from (select distinct dir from f) d join held on d.dir = held.dir or starts_with(d.dir, held.dir || '/')
+  qualify row_number() over (partition by d.dir order by len(held.dir) desc) = 1)
+select f.doc_id, f.dir || '/' || f.doc_id::varchar as path, coalesce(lic.own, passed) as license, coalesce(kind, case when passed is not null then 'inherited' end, 'none') as origin,
+  lic.cosine, case when lic.own is null then above end as licensed_from
+from f left join lic using (doc_id) left join up on up.dir = f.dir
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_vantage_point_search": OP1, "op6_source_mix": OP6, "op10_warc_round_trip": OP10}
+    return {"op2_license_scan": sql_op2(), "op3_template_decontamination": sql_op3(), "op1_vantage_point_search": OP1, "op6_source_mix": OP6, "op10_warc_round_trip": OP10}
