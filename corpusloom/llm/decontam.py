@@ -65,7 +65,8 @@ def windows(table: DataFrame, key: str, size: int = WORDS) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = table.select(F.col(key).cast("long").alias(key), text.alias("text")).withColumn("t", words(template(F.col("text"))))
     rows = rows.select(key, "text", F.size("t").alias("n"), _windows(size).alias("hs"))
-    return rows.select(key, "text", "n", F.posexplode("hs").alias("pos", "h"))
+    # the outer form: the inner one would add a filter below that computes the windows once more
+    return rows.select(key, "text", "n", F.posexplode_outer("hs").alias("pos", "h")).where("h is not null")
 
 
 def benchmark_windows(benchmark: DataFrame, size: int = WORDS, literals: int = LITERALS) -> DataFrame:

@@ -58,7 +58,7 @@ def vocabulary(files: DataFrame, known: DataFrame) -> DataFrame:
     own = F.array(*[F.lit(w) for w in sorted(words)])
     have = F.array_intersect(terms(F.coalesce(F.col("text"), F.lit(""))), own)
     # one row of the whole table (the empty word) counts the files
-    df = files.select(F.explode(F.concat(F.array(F.lit("")), have)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = files.select(F.explode_outer(F.concat(F.array(F.lit("")), have)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     every = known.sparkSession.createDataFrame([(w,) for w in [*sorted(words), ""]], "term string").coalesce(1)
     df = every.join(df, "term", "left").select("term", F.coalesce("df", F.lit(0).cast("long")).alias("df"))
     n = F.max(F.when(F.col("term") == "", F.col("df"))).over(Window.partitionBy(F.lit(0)))
@@ -99,9 +99,9 @@ def matches(files: DataFrame, known: DataFrame | None = None, cosine: float = CO
 
     vector = written(vector, "templates").coalesce(1)
     some = rf"(?:^|[^a-z0-9])(?:{'|'.join(re.escape(t) for t in anchors(vector, cosine))})"
-    lines = files.where(F.lower("text").rlike(some)).select("path", F.size(terms(F.col("text"))).alias("file_terms"), F.posexplode(F.split("text", "\n")).alias("line", "own"))
+    lines = files.where(F.lower("text").rlike(some)).select("path", F.size(terms(F.col("text"))).alias("file_terms"), F.posexplode_outer(F.split("text", "\n")).alias("line", "own"))
     lines = lines.where(F.lower("own").rlike(some)).withColumn("ts", terms(F.col("own")))
-    tf = lines.select("path", "line", "file_terms", F.size("ts").alias("line_terms"), F.explode("ts").alias("term")).groupBy("path", "line", "file_terms", "line_terms", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = lines.select("path", "line", "file_terms", F.size("ts").alias("line_terms"), F.explode_outer("ts").alias("term")).groupBy("path", "line", "file_terms", "line_terms", "term").agg(F.count(F.lit(1)).alias("tf"))
     tf = tf.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * rare)
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")))
     own = tf.groupBy("path", "line", "file_terms", "line_terms").agg(norm.alias("norm"))
@@ -137,7 +137,7 @@ def scan(files: DataFrame, known: DataFrame | None = None, cosine: float = COSIN
     held = votes.groupBy("dir").agg(F.min(F.struct(-F.col("n"), "own")).alias("b")).select(F.col("dir").alias("above"), F.col("b.own").alias("passed"))
     # each directory once: the nearest one above (itself included) that holds a licence
     dirs = files.where("path is not null").select(directory(F.col("path")).alias("dir")).distinct()
-    up = dirs.select("dir", F.posexplode(F.concat(parents(F.col("dir")), F.array("dir"))).alias("depth", "above")).join(held, "above")
+    up = dirs.select("dir", F.posexplode_outer(F.concat(parents(F.col("dir")), F.array("dir"))).alias("depth", "above")).join(held, "above")
     up = up.groupBy("dir").agg(F.max(F.struct("depth", "above", "passed")).alias("b")).select(F.col("dir").alias("_dir"), F.col("b.above").alias("above"), F.col("b.passed").alias("passed"))
     up = written(up, "inherited")
     rows = files.select("path").join(own, F.col("path") == F.col("_path"), "left").join(up, directory(F.col("path")) == F.col("_dir"), "left")
