@@ -49,7 +49,12 @@ def terms(text: Column) -> Column:
 
 def templates(spark: SparkSession, rows=TEMPLATES) -> DataFrame:
     """(template, license, text)."""
-    return spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(rows)], "template int, license string, text string").coalesce(1)
+    return literal_table(spark, [(i, name, text) for i, (name, text) in enumerate(rows)], "template", "license", "text")
+
+
+def literal_table(spark: SparkSession, rows: list[tuple], *names: str) -> DataFrame:
+    """A small table as literals of the plan; no job and no Python worker makes it."""
+    return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names, row)]) for row in rows])))
 
 
 def vocabulary(files: DataFrame, known: DataFrame) -> DataFrame:
@@ -59,7 +64,7 @@ def vocabulary(files: DataFrame, known: DataFrame) -> DataFrame:
     have = F.array_intersect(terms(F.coalesce(F.col("text"), F.lit(""))), own)
     # one row of the whole table (the empty word) counts the files
     df = files.select(F.explode_outer(F.concat(F.array(F.lit("")), have)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    every = known.sparkSession.createDataFrame([(w,) for w in [*sorted(words), ""]], "term string").coalesce(1)
+    every = literal_table(known.sparkSession, [(w,) for w in [*sorted(words), ""]], "term")
     df = every.join(df, "term", "left").select("term", F.coalesce("df", F.lit(0).cast("long")).alias("df"))
     n = F.max(F.when(F.col("term") == "", F.col("df"))).over(Window.partitionBy(F.lit(0)))
     return df.withColumn("n", n).select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.when(F.col("term") == "", 0).otherwise(F.col("df")))) + 1.0).alias("idf"))
