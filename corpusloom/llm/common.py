@@ -54,6 +54,11 @@ def text_bytes(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
+def crc_remainder(n: int, column: str = "doc_id") -> Column:
+    """crc32 of an id written as text, modulo ``n``; a null id counts as the empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
 def resource_path(name: str) -> str:
     """The place of a public tokenizer file; imported late, the package is on every machine."""
     import public_tokenizers

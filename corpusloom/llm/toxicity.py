@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import arrow_batches, text_bytes, written
+from corpusloom.llm.common import arrow_batches, crc_remainder, text_bytes, written
 
 #: The orders; the first is shared by the classes.
 ORDERS = (3, 5, 7)
@@ -186,19 +186,15 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def remainder(n: int = 4):
-    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(n))
-
-
 def sample(docs: DataFrame, labels: DataFrame, toxic_rows: int, ordinary_rows: int) -> DataFrame:
     """(t, toxic, part): the labelled documents that may be learnt from, bounded by class; part 3 is for the regression."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    marks = marks.where(remainder() != 2).withColumn("h", F.xxhash64("doc_id"))
+    marks = marks.where(crc_remainder(4) != 2).withColumn("h", F.xxhash64("doc_id"))
     picked = [marks.where(F.col("toxic") == k).orderBy("h", "doc_id").limit(n) for k, n in ((1, toxic_rows), (0, ordinary_rows))]
     picked = written(picked[0].unionByName(picked[1]).select(F.col("doc_id").alias("_id"), "toxic"), "labelled")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("t"))
     rows = rows.join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))  # at most toxic_rows + ordinary_rows ids
-    return written(rows.select("t", "toxic", remainder().cast("int").alias("part"), F.xxhash64("doc_id").alias("h")).repartition(COUNTERS, "h"), "sample")
+    return written(rows.select("t", "toxic", crc_remainder(4).cast("int").alias("part"), F.xxhash64("doc_id").alias("h")).repartition(COUNTERS, "h"), "sample")
 
 
 def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> Scorer:
@@ -250,7 +246,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **bo
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([scorer.value(t) for t in batch.column(2).to_pylist()], pa.float64())], ["doc_id", "held_out", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder() == 2).alias("held_out"), text_bytes().alias("t"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_remainder(4) == 2).alias("held_out"), text_bytes().alias("t"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
