@@ -149,3 +149,23 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, cell_pairs:
         named = classes.join(low, "fp", "left").select("fp", F.coalesce("low", "first").alias("component_id"))
     named = written(named, "components")
     return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, words: int = 3, bits: int = 2, cell_pairs: int = CELL_PAIRS) -> DataFrame:
+    """``docs`` with one row of each component: its smallest doc_id, and of rows repeating that one the smallest text.
+
+    All columns stay. Only doc_ids that go are collected into a table, and rows are dropped by it, so
+    documents that are alone are not moved with their texts unless that table is large. Rows without
+    a doc_id stay.
+    """
+    found = written(near_duplicates(docs.select("doc_id", "text"), words, bits, cell_pairs).select("doc_id", "component_id"), "kept")
+    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    again = written(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again"), "repeated")
+    if again.isEmpty():
+        return kept
+    names = kept.columns
+    once = kept.join(again, kept["doc_id"] == again["_again"], "left_anti")
+    rest = kept.join(again, kept["doc_id"] == again["_again"], "left_semi")
+    least = rest.groupBy("doc_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("_t"), *[F.col(c) for c in names])).alias("_r"))
+    return once.unionByName(least.select(*[F.col("_r")[c].alias(c) for c in names]))
