@@ -103,7 +103,9 @@ def matches(files: DataFrame, known: DataFrame | None = None, cosine: float = CO
     vector = vector.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("template")))).select("template", "license", "term", (F.col("w") / F.col("norm")).alias("tw"))
 
     vector = written(vector, "templates").coalesce(1)
-    some = rf"(?:^|[^a-z0-9])(?:{'|'.join(re.escape(t) for t in anchors(vector, cosine))})"
+    heavy = anchors(vector, cosine)
+    whole = [rf"(?<!{kind})(?:{'|'.join(re.escape(t) for t in own)})(?!{kind})" for kind, own in (("[a-z]", [t for t in heavy if t.isalpha()]), ("[0-9]", [t for t in heavy if not t.isalpha()])) if own]
+    some = "|".join(whole) or "(?!)"
     lines = files.where(F.lower("text").rlike(some)).select("path", F.size(terms(F.col("text"))).alias("file_terms"), F.posexplode_outer(F.split("text", "\n")).alias("line", "own"))
     lines = lines.where(F.lower("own").rlike(some)).withColumn("ts", terms(F.col("own")))
     tf = lines.select("path", "line", "file_terms", F.size("ts").alias("line_terms"), F.explode_outer("ts").alias("term")).groupBy("path", "line", "file_terms", "line_terms", "term").agg(F.count(F.lit(1)).alias("tf"))
