@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +23,10 @@ from corpusloom.llm.common import arrow_batches, crc_remainder, text_bytes, writ
 
 #: The orders; the first is shared by the classes.
 ORDERS = (3, 5, 7)
-#: Buckets of an order's hashed n-grams.
-BITS = 20
+#: Bits of the buckets of hashed n-grams and contexts by length; the model is 17 MB whatever the sample.
+BITS = {2: 18, 3: 18, 4: 19, 5: 19, 6: 20, 7: 21}
+#: Probabilities are held in half precision, times this.
+HALF = 1024
 DISCOUNT = 0.9
 #: Bound of the labelled sample: documents of each class, those of the smallest hashes.
 TOXIC_ROWS, ORDINARY_ROWS = 4000, 8000
@@ -39,7 +42,7 @@ def prepared(text: bytes) -> np.ndarray:
     return np.frombuffer(b"       " + b" ".join(text.decode("utf-8", "replace").lower().encode().split()) + b" ", np.uint8)
 
 
-def hashes(data: np.ndarray, bits: int = BITS) -> dict[int, np.ndarray]:
+def hashes(data: np.ndarray) -> dict[int, np.ndarray]:
     """Buckets of the n-grams that end at each byte from the eighth on, by order; also those of their contexts (as order - 1).
 
     A word of 64 bits holds the eight bytes up to a place, the last one highest; shifts cut n-grams out.
@@ -52,9 +55,9 @@ def hashes(data: np.ndarray, bits: int = BITS) -> dict[int, np.ndarray]:
     out = {}
     for order in ORDERS:
         gram = wide >> np.uint64(64 - 8 * order)
-        out[order] = ((gram * MULTIPLY) >> np.uint64(64 - bits)).view(np.int64)
+        out[order] = ((gram * MULTIPLY) >> np.uint64(64 - BITS[order])).view(np.int64)
         gram = before >> np.uint64(64 - 8 * (order - 1))
-        out[order - 1] = ((gram * MULTIPLY) >> np.uint64(64 - bits)).view(np.int64)
+        out[order - 1] = ((gram * MULTIPLY) >> np.uint64(64 - BITS[order - 1])).view(np.int64)
     return out
 
 
@@ -62,19 +65,18 @@ def hashes(data: np.ndarray, bits: int = BITS) -> dict[int, np.ndarray]:
 class Counts:
     """Documents of each class by bucket of each order, and the buckets of an n-gram's context and suffix."""
 
-    bits: int = BITS
     n: dict = field(default_factory=dict)
     context: dict = field(default_factory=dict)
     suffix: dict = field(default_factory=dict)
 
     def __post_init__(self):
         for order in ORDERS:
-            self.n[order] = np.zeros((2, 1 << self.bits), np.int32)
-            self.context[order] = np.full(1 << self.bits, -1, np.int32)
-            self.suffix[order] = np.full(1 << self.bits, -1, np.int32)
+            self.n[order] = np.zeros((2, 1 << BITS[order]), np.int32)
+            self.context[order] = np.full(1 << BITS[order], -1, np.int32)
+            self.suffix[order] = np.full(1 << BITS[order], -1, np.int32)
 
     def add(self, text: bytes, label: int) -> None:
-        grams = hashes(prepared(text), self.bits)
+        grams = hashes(prepared(text))
         for i, order in enumerate(ORDERS):
             own, first = np.unique(grams[order], return_index=True)
             self.n[order][label][own] += 1
@@ -100,39 +102,39 @@ class Model:
     """Discounted ratios and backoff weights by bucket; ``ratio`` gives a text's log ratios by byte."""
 
     def __init__(self, counts: Counts, discount: float = DISCOUNT):
-        size = 1 << counts.bits
-        self.bits = counts.bits
         self.tables = {}
         for i, order in enumerate(ORDERS):
             n = counts.n[order].astype(np.float64)
             if order != ORDERS[-1]:
                 # below the top order an n-gram counts the longer ones that end in it
-                longer = counts.n[ORDERS[i + 1]]
-                seen = np.bincount(np.maximum(counts.suffix[ORDERS[i + 1]], 0), (longer.sum(axis=0) > 0) & (counts.suffix[ORDERS[i + 1]] >= 0), size)
-                split = [np.bincount(np.maximum(counts.suffix[ORDERS[i + 1]], 0), (x > 0) & (counts.suffix[ORDERS[i + 1]] >= 0), size) for x in longer]
-                n = np.stack([seen, seen]) if i == 0 else np.stack(split)
+                longer, suffix = counts.n[ORDERS[i + 1]], counts.suffix[ORDERS[i + 1]]
+                ending = lambda some: np.bincount(np.maximum(suffix, 0), some & (suffix >= 0), 1 << BITS[order])
+                n = np.stack([ending(longer.sum(axis=0) > 0)] if i == 0 else [ending(x > 0) for x in longer])
             rows = []
             for own in n:
                 known = (own > 0) & (counts.context[order] >= 0)
                 at = np.maximum(counts.context[order], 0)
+                size = 1 << BITS[order - 1]
                 total, kinds = np.bincount(at, own * known, size), np.bincount(at, known, size)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     keep = np.where(known, np.maximum(own - discount, 0) / total[at], 0.0)
                     back = np.where(total > 0, discount * kinds / total, 1.0)
-                rows.append((keep.astype(np.float32), np.minimum(back, 1.0).astype(np.float32)))
-            self.tables[order] = rows[:1] if i == 0 else rows
+                rows.append(tuple((HALF * np.minimum(x, 1.0)).astype(np.float16) for x in (keep, back)))
+            self.tables[order] = rows
+
+    def _step(self, grams: dict, order: int, label: int, lower) -> np.ndarray:
+        keep, back = self.tables[order][label]
+        scale = np.float32(1 / HALF)
+        return keep.take(grams[order]) * scale + (back.take(grams[order - 1]) * scale) * lower
 
     def ratio(self, text: bytes) -> np.ndarray:
-        grams = hashes(prepared(text), self.bits)
-        low = ORDERS[0]
-        keep, back = self.tables[low][0]
-        shared = keep.take(grams[low]) + back.take(grams[low - 1]) * np.float32(1 / 256)
+        grams = hashes(prepared(text))
+        shared = self._step(grams, ORDERS[0], 0, np.float32(1 / 256))
         both = []
         for label in (0, 1):
             p = shared
             for order in ORDERS[1:]:
-                keep, back = self.tables[order][label]
-                p = keep.take(grams[order]) + back.take(grams[order - 1]) * p
+                p = self._step(grams, order, label, p)
             both.append(p)
         return np.log(both[1] / both[0])
 
@@ -166,10 +168,10 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-2
 
 
 class Scorer:
-    """The model and the regression over its features; without both classes it gives the smoothed rate of label 1."""
+    """The regression over features; without both classes it gives the smoothed rate of label 1."""
 
-    def __init__(self, model: Model, x: np.ndarray, y: np.ndarray):
-        self.model, self.weights = model, None
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        self.weights = None
         self.rate = (float(y.sum()) + 1) / (len(y) + 2)
         if 0 < y.sum() < len(y):
             self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
@@ -179,10 +181,10 @@ class Scorer:
         z = np.clip((x - self.mean) / self.scale, -8, 8)
         return np.column_stack([z, z * z])
 
-    def __call__(self, text: bytes) -> float:
+    def __call__(self, model: Model, text: bytes) -> float:
         if self.weights is None:
             return self.rate
-        z = np.append(self.spread(np.array([self.model.features(text)]))[0], 1.0) @ self.weights
+        z = np.append(self.spread(np.array([model.features(text)]))[0], 1.0) @ self.weights
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
@@ -197,8 +199,8 @@ def sample(docs: DataFrame, labels: DataFrame, toxic_rows: int, ordinary_rows: i
     return written(rows.select("t", "toxic", crc_remainder(4).cast("int").alias("part"), F.xxhash64("doc_id").alias("h")).repartition(COUNTERS, "h"), "sample")
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> Scorer:
-    """Counts on two thirds of the sample and the regression on the rest; tables of fixed size reach the driver."""
+def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> tuple[Broadcast, Scorer]:
+    """Counts on two thirds of the sample and the regression on the rest; tables of fixed size reach the driver and are sent once."""
     spark = docs.sparkSession
     arrow_batches(spark, 200)
     rows = sample(docs, labels, toxic_rows, ordinary_rows)
@@ -220,8 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordina
     counts = Counts()
     for row in parts.groupBy("k").applyInArrow(merge, "blob binary").collect():  # one row
         counts.merge(bytes(row.blob))
-    model = Model(counts)
-    held = spark.sparkContext.broadcast(model)
+    held = spark.sparkContext.broadcast(Model(counts))
 
     def measure(batches):
         for batch in batches:
@@ -230,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordina
     seen = rows.where("part = 3").select("t", "toxic").mapInArrow(measure, "x array<double>, y int").collect()  # a third of the sample at most
     seen.sort(key=lambda r: (r.y, r.x))
     x = np.array([r.x for r in seen], np.float64).reshape(len(seen), -1)
-    return Scorer(model, x, np.array([r.y for r in seen], np.float64))
+    return held, Scorer(x, np.array([r.y for r in seen], np.float64))
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **bounds) -> DataFrame:
@@ -240,11 +241,11 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **bo
     is the smoothed rate. Null texts score as empty ones; null doc_ids have the remainder of the
     empty text; rows that repeat come out as often.
     """
-    scorer = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **bounds))
+    model, scorer = fit(docs, labels, **bounds)
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([scorer.value(t) for t in batch.column(2).to_pylist()], pa.float64())], ["doc_id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([scorer(model.value, t) for t in batch.column(2).to_pylist()], pa.float64())], ["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_remainder(4) == 2).alias("held_out"), text_bytes().alias("t"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
@@ -252,11 +253,11 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **bo
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **bounds) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more; scored where they are read, all columns stay."""
-    scorer = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **bounds))
+    model, scorer = fit(docs, labels, **bounds)
 
     def run(batches):
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.filter(pa.array([scorer.value((t or "").encode()) < threshold for t in texts], pa.bool_()))
+            yield batch.filter(pa.array([scorer(model.value, (t or "").encode()) < threshold for t in texts], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
