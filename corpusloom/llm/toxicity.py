@@ -230,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordina
 
     seen = rows.where("part = 3").select("t", "toxic").mapInArrow(measure, "x array<double>, y int").collect()  # a third of the sample at most
     seen.sort(key=lambda r: (r.y, r.x))
-    x = np.array([r.x for r in seen], np.float64).reshape(len(seen), -1)
+    x = np.array([r.x for r in seen], np.float64).reshape(len(seen), 2 + 3 * len(WINDOWS))
     return held, Scorer(x, np.array([r.y for r in seen], np.float64))
 
 
