@@ -132,3 +132,36 @@ def metrics(ranked: DataFrame, qkey: str, k: int = 5) -> DataFrame:
     out = df.groupBy(qkey).agg(first.alias("first"), gain("rank").alias("dcg"), gain("ideal").alias("best"))
     flag = lambda c: F.coalesce(c.cast("int"), F.lit(0))
     return out.select(qkey, flag(F.col("first") <= k).alias("hit"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"), F.when(F.col("best") > 0, F.col("dcg") / F.when(F.col("best") > 0, F.col("best"))).otherwise(0.0).alias("ndcg"), flag(F.col("first") == 1).alias("top1"), flag(F.col("first") <= 3).alias("top3"))
+
+
+def layered(critical: Column, semantic: Column, semantic_score: Column, rule: Column, default: str, high: float = 0.90, low: float = 0.60, accept: float = 0.58) -> Column:
+    """The label of the first layer that is sure: critical rules, a sure semantic label, a rule, a fair semantic label."""
+    return (
+        F.when(critical.isNotNull(), critical)
+        .when(semantic_score >= high, semantic)
+        .when((semantic_score >= low) & rule.isNotNull(), rule)
+        .when(semantic_score >= low, semantic)
+        .when(rule.isNotNull(), rule)
+        .when(semantic_score >= accept, semantic)
+        .otherwise(default)
+    )
+
+
+def by_priority(df: DataFrame, qkey: str, priority: Column, moved: Column | None = None) -> DataFrame:
+    """Rows by priority, then score, then rank, the moved ones (a named product) first; adds ``place``."""
+    first = F.lit(0) if moved is None else F.when(moved, 0).otherwise(1)
+    w = Window.partitionBy(qkey).orderBy(first, F.desc(priority), F.desc("score"), "rank")
+    return df.withColumn("place", F.row_number().over(w))
+
+
+def metadata_rank(score: Column, page_match: Column, navigation: Column, category_match: Column, topic_match: Column) -> Column:
+    add = lambda on, v: F.when(on, v).otherwise(0.0)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score + add(page_match, 0.08) - add(navigation, 0.12) + add(category_match, 0.05) + add(topic_match, 0.06)))
+
+
+def additive_boost(score: Column, *parts: tuple[Column, float]) -> Column:
+    """Score plus the weights of the conditions that hold, held between 0 and 1."""
+    total = score
+    for on, weight in parts:
+        total = total + F.when(on, weight).otherwise(0.0)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))

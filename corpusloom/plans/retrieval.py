@@ -339,3 +339,53 @@ def ans_explain(spark, sf_dir):
 def ans_cache_support(spark, sf_dir):
     rows = top(spark, sf_dir).where("rank <= 20").groupBy("item_id").agg(F.collect_set(F.when(F.col("rank") <= 3, F.col("url"))).alias("urls"))
     return rows.select("item_id", F.when(F.array_contains("urls", "src1"), "replay").otherwise("miss").alias("cache"))
+
+
+@query(f"with {TOP} select item_id, doc_id, round(greatest(0, least(1, score + case when url like 'src1%' then 0.08 else 0 end - case when category = 'de' then 0.12 else 0 end + case when category = 'en' then 0.05 else 0 end)), 6) as score from top")
+def rnk_metadata(spark, sf_dir):
+    rows = top(spark, sf_dir)
+    ranked_ = R.metadata_rank(F.col("score"), F.col("url").startswith("src1"), F.col("category") == "de", F.col("category") == "en", F.lit(False))
+    return rows.select("item_id", "doc_id", F.round(ranked_, 6).alias("score"))
+
+
+@query(f"with {TOP} select item_id, doc_id, round(greatest(0, least(1, score + case when category = 'en' then 0.35 else 0 end - case when url = 'src2' then 0.1 else 0 end)), 6) as score from top")
+def rnk_intent_boost(spark, sf_dir):
+    rows = top(spark, sf_dir)
+    return rows.select("item_id", "doc_id", F.round(R.additive_boost(F.col("score"), (F.col("category") == "en", 0.35), (F.col("url") == "src2", -0.10)), 6).alias("score"))
+
+
+@query(f"with {TOP} select item_id, doc_id, row_number() over (partition by item_id order by case when url = 'src3' then 0 else 1 end, case category when 'fr' then 2 when 'de' then 1 else 0 end desc, round(score, 6) desc, rank) as place from top")
+def rnk_prioritised(spark, sf_dir):
+    rows = top(spark, sf_dir).withColumn("score", F.round("score", 6))
+    priority = F.when(F.col("category") == "fr", 2).when(F.col("category") == "de", 1).otherwise(0)
+    return R.by_priority(rows, "item_id", priority, F.col("url") == "src3").select("item_id", "doc_id", F.col("place").cast("long").alias("place"))
+
+
+@query(f"with {BM25} select b.item_id, count(r.doc_id)::bigint as hits, coalesce(round(max(r.score), 6), 0) as best from benchmark b left join ranked r on r.item_id = b.item_id and r.rank <= 50 group by b.item_id")
+def rnk_hit_counts(spark, sf_dir):
+    rows = table(spark, sf_dir, "benchmark").select("item_id").join(ranked(spark, sf_dir, 50), "item_id", "left")
+    return rows.groupBy("item_id").agg(F.count("doc_id").alias("hits"), F.coalesce(F.round(F.max("score"), 6), F.lit(0.0)).alias("best"))
+
+
+@query("""select conv_id, turn, case when regexp_matches(text, '(?i)password') then 'critical' when s >= 0.9 then 'semantic' when s >= 0.6 and regexp_matches(text, '(?i)tion') then 'rule' when s >= 0.6 then 'semantic'
+ when regexp_matches(text, '(?i)tion') then 'rule' when s >= 0.58 then 'semantic' else 'general' end as label from (select *, (length(text) % 100) / 100.0::double as s from conversations)""")
+def cls_layered_router(spark, sf_dir):
+    text = F.col("text")
+    label = R.layered(F.when(text.rlike("(?i)password"), "critical"), F.lit("semantic"), F.pmod(F.length("text"), F.lit(100)) / 100.0, F.when(text.rlike("(?i)tion"), "rule"), "general")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", label.alias("label"))
+
+
+@query()
+def udf_hash_embedding(spark, sf_dir):
+    from corpusloom import adapters
+
+    vector = adapters.get("embedder")(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.transform(vector, lambda x: F.round(x, 6)).alias("embedding"))
+
+
+@query("""with q as (select 'the' as w union all select 'tion' union all select 'zzz'), g as (select item_id, lower(text) as t from benchmark)
+select w || ' ' || p as query from q, (values ('what is'), ('how to'), ('where'), ('show')) as v(p) where w || ' ' || p not in (select t from g)""")
+def gen_paraphrases(spark, sf_dir):
+    seeds = spark.sql("select explode(array('the', 'tion', 'zzz')) as w").crossJoin(F.broadcast(spark.sql("select explode(array('what is', 'how to', 'where', 'show')) as p")))
+    made = seeds.select(F.concat_ws(" ", "w", "p").alias("query"))
+    return made.join(table(spark, sf_dir, "benchmark").select(F.lower("text").alias("query")), "query", "left_anti")
