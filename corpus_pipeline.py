@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontam, mixing, pii, simhash, toxicity
+from corpusloom.llm import decontam, mixing, nearcopies, pii, toxicity
 from corpusloom.llm.common import table, written
 
 
@@ -19,11 +19,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays: the one with the smallest doc_id.
+    """One document of each set of near copies stays: the one with the smallest doc_id.
+
+    Near copies have a Jaccard of 0.8 or more over five-word shingles, or are joined by such pairs.
 
     Documents without a doc_id cannot be told apart by one and stay.
     """
-    return simhash.representatives(docs)
+    return nearcopies.representatives(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", drop_toxic),
-    ("simhash near-dedup", keep_one_of_each),
+    ("near-dedup", keep_one_of_each),
     ("benchmark decontamination", drop_leaks),
     ("personal data", mask_personal_data),
     ("source mix", mix_sources),

@@ -151,6 +151,32 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, cell_pairs:
     return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` with one row of each label: its smallest doc_id, and of its rows with that one the smallest text hash.
+
+    ``found`` (doc_id, th, label) has every row of ``docs``; th is the hash of its text, so rows that
+    repeat a doc_id are told apart by it. All columns stay. Only rows that go are collected into a
+    table, so documents that are alone are not moved with their texts unless that table is large.
+    Rows without a doc_id stay.
+    """
+    found = written(found.where("doc_id is not null").groupBy("doc_id", "th", "label").agg(F.count(F.lit(1)).alias("n")), "kept")
+    least = found.groupBy("label").agg(F.min(F.struct("doc_id", "th")).alias("least"))
+    rows = found.join(least, "label").select("doc_id", "th", "n", (F.struct("doc_id", "th") == F.col("least")).alias("stays"))
+    rows = written(rows.where("not stays or n > 1"), "gone")
+    gone = rows.where("not stays").select(F.col("doc_id").alias("_gone"), F.col("th").alias("_th"))
+    at = lambda side, name: (docs["doc_id"].cast("long") == side[name]) & (F.xxhash64(docs["text"]) == side["_th"])
+    kept = docs.join(gone, at(gone, "_gone"), "left_anti")
+    again = rows.where("stays").select(F.col("doc_id").alias("_again"), F.col("th").alias("_th"))
+    if again.isEmpty():
+        return kept
+    names = kept.columns
+    same = (kept["doc_id"].cast("long") == again["_again"]) & (F.xxhash64(kept["text"]) == again["_th"])
+    once = kept.join(again, same, "left_anti")
+    rest = kept.join(again, same, "left_semi")
+    first = rest.groupBy("doc_id", F.xxhash64("text").alias("_h")).agg(F.min(F.struct(*[F.col(c) for c in names])).alias("_r"))
+    return once.unionByName(first.select(*[F.col("_r")[c].alias(c) for c in names]))
+
+
 def representatives(docs: DataFrame, words: int = 3, bits: int = 2, cell_pairs: int = CELL_PAIRS) -> DataFrame:
     """``docs`` with one row of each component: its smallest doc_id, and of rows repeating that one the smallest text.
 
