@@ -60,10 +60,10 @@ def _windows(size: int) -> Column:
     return F.expr(f"case when size(t) >= {size} then transform(sequence(0, size(t) - {size}), i -> xxhash64({at})) when size(t) > 0 then array(xxhash64(size(t), array_join(t, ' '))) end")
 
 
-def windows(table: DataFrame, key: str, size: int = WORDS) -> DataFrame:
-    """(key, text, n, pos, h): a row for each window."""
+def windows(table: DataFrame, key: str, size: int = WORDS, form=template) -> DataFrame:
+    """(key, text, n, pos, h): a row for each window of the text's ``form``."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = table.select(F.col(key).cast("long").alias(key), text.alias("text")).withColumn("t", words(template(F.col("text"))))
+    rows = table.select(F.col(key).cast("long").alias(key), text.alias("text")).withColumn("t", words(form(F.col("text"))))
     rows = rows.select(key, "text", F.size("t").alias("n"), _windows(size).alias("hs"))
     # the outer form: the inner one would add a filter below that computes the windows once more
     return rows.select(key, "text", "n", F.posexplode_outer("hs").alias("pos", "h")).where("h is not null")
@@ -113,7 +113,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WORDS, cover
     return item.select("doc_id", "item_id", "n_windows", "n_matched", "coverage", F.when(F.col("moved"), "reparameterised").otherwise("verbatim").alias("kind"))
 
 
+def verbatim(docs: DataFrame, benchmark: DataFrame, size: int = WORDS, coverage: float = COVERAGE, batch: int = BATCH) -> DataFrame:
+    """(doc_id, item_id, n_windows, n_matched) for every document that holds an item's own words in any case.
+
+    All windows of an item count, also those that are mostly numbers, names or units.
+    """
+    rows = windows(benchmark, "item_id", size, literal).where("item_id is not null").select("item_id", "h", F.col("pos").alias("ipos")).distinct()
+    total = rows.groupBy("item_id").agg(F.count_distinct("ipos").alias("n_windows"))
+    bench = written(rows.join(total, "item_id"), "verbatim")
+    batches = max(1, math.ceil(bench.count() / batch))
+    own = windows(docs, "doc_id", size, literal).where("doc_id is not null").select("doc_id", "h")
+    found = None
+    for k in range(batches):
+        side = bench if batches == 1 else bench.where(F.pmod(F.col("h"), F.lit(batches)) == k)
+        met = own.join(F.broadcast(side), "h").select("doc_id", "item_id", "n_windows", "ipos")
+        found = met if found is None else found.unionByName(met)
+    item = found.groupBy("doc_id", "item_id", "n_windows").agg(F.count_distinct("ipos").alias("n_matched"))
+    return item.where(F.col("n_matched") / F.col("n_windows") >= coverage)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that hold an item; all columns stay."""
-    held = written(contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_held")).distinct(), "held")
+    """``docs`` without the documents that hold an item by its template or by its words in any case; all columns stay."""
+    held = contaminated(docs, benchmark, **options).select("doc_id").unionByName(verbatim(docs, benchmark, **options).select("doc_id"))
+    held = written(held.select(F.col("doc_id").alias("_held")).distinct(), "held")
     return docs.join(held, docs["doc_id"] == held["_held"], "left_anti")
