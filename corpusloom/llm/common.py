@@ -9,26 +9,30 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch sent to Python; texts can be long, so batches are short.
-ARROW_ROWS = 1000
+#: Bounds of an Arrow batch sent to Python: rows, and bytes, since texts can be long.
+ARROW_ROWS, ARROW_BYTES = 4000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bounds the Arrow batches of the Python stages that follow."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def arrow_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of the session's Python stages by rows and by bytes; the same bounds for all."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset, as in tests on one machine, a temporary folder is set.
+    Where that is unset, a temporary folder is set if the session runs on one machine; on a cluster
+    that would be another disk on each machine, so it is an error there.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='corpusloom-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -68,7 +68,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     A task writes under a name of its own and then renames, so a task that runs again replaces its
     archive and leaves no half of one.
     """
-    arrow_batches(pages.sparkSession, 200)
+    arrow_batches(pages.sparkSession)
     revisits = written(plan(pages, least), "revisits").toDF("_id", "_digest", "owner")
     body = text_bytes("html")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("body"))
@@ -166,7 +166,7 @@ def records(handle, start: int, stop: int):
 
 def read_archives(spark: SparkSession, archives: DataFrame, folder: str, split: int = SPLIT) -> DataFrame:
     """(page_id, url, record_type, refers_to, payload_digest, payload_bytes, payload) of all records in (path, size) archives."""
-    arrow_batches(spark, 200)
+    arrow_batches(spark)
     begin = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long")))
     ranges = archives.where("size > 0").select("path", begin.alias("start")).withColumn("stop", F.col("start") + split)
     ranges = ranges.repartition(max(1, spark.sparkContext.defaultParallelism * 2), "path", "start")

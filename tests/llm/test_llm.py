@@ -357,19 +357,43 @@ def test_no_rows_to_learn_from(spark):
     assert lm.scores(empty(spark)).count() == 0
 
 
+def little_vocabulary(texts):
+    """The vocabulary that ``learn_vocabulary`` makes, counted in plain loops, and the subwords."""
+    subwords = lm.Subwords()
+    single, pairs, stops = np.zeros(subwords.size + 1), Counter(), Counter()
+    for text in texts:
+        for w in text:
+            ids = np.frombuffer(subwords.ids(w), np.int32).tolist()
+            for i in ids:
+                single[i] += 1
+            pairs.update(zip(ids, ids[1:]))
+            stops[ids[-1]] += 1
+    held = [np.array(x, np.int64) for x in ([a for a, _ in pairs], [b for _, b in pairs], list(pairs.values()))]
+    voc = lm.Vocabulary(single, subwords.beginning, *held)
+    voc.pair(*held)
+    voc.follow(np.array([*held[0], *stops]), np.array([*voc.classes[held[1]], *[-1] * len(stops)]), np.array([*held[2], *stops.values()]))
+    return subwords, voc, single
+
+
+def little_texts():
+    return [[*words(random.Random(i), n).encode().split(), lm.END] for i, n in enumerate((0, 1, 9, 40, 333))]
+
+
 def test_slope_is_the_losses_derivative():
     model, rng = lm.Attention(), np.random.default_rng(1)
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
     x, y = rng.integers(0, 50, (2, lm.WINDOW)), rng.integers(0, lm.CLASSES, (2, lm.WINDOW))
-    weight = np.ones((2, lm.WINDOW))
+    bias = rng.standard_normal((2 * lm.WINDOW, lm.CLASSES))
+    weight = rng.integers(0, 2, (2, lm.WINDOW)).astype(float)
 
     def loss():
-        logits = model.forward(x)[-1]
+        logits = model.forward(x, bias)[-1].reshape(2, lm.WINDOW, -1)
         top = logits - logits.max(axis=-1, keepdims=True)
-        return -(np.take_along_axis(top, y[..., None], -1)[..., 0] - np.log(np.exp(top).sum(axis=-1))).mean()
+        logs = np.take_along_axis(top, y[..., None], -1)[..., 0] - np.log(np.exp(top).sum(axis=-1))
+        return -(logs * weight).sum() / weight.sum()
 
-    slope = model.slope(x, y, weight)
-    for name, at in (("qkv", (3, 5)), ("qkv", (2, 20)), ("qkv", (1, 40)), ("o", (4, 4)), ("u", (2, 7)), ("e", (int(x[0, 3]), 2)), ("pos", (4, 1)), ("b", (9,))):
+    slope = model.slope(x, bias, y, weight)
+    for name, at in (("qkv", (3, 5)), ("qkv", (2, 10)), ("qkv", (1, 20)), ("o", (4, 4)), ("u", (2, 7)), ("e", (int(x[0, 3]), 2)), ("pos", (4, 1)), ("b", (9,))):
         old = model.p[name][at]
         model.p[name][at] = old + 1e-5
         up = loss()
@@ -379,24 +403,126 @@ def test_slope_is_the_losses_derivative():
         assert math.isclose(slope[name][at], (up - down) / 2e-5, rel_tol=1e-3, abs_tol=1e-7), name
 
 
-def test_each_subword_is_scored_once():
-    subwords = lm.Subwords()
-    texts = [words(random.Random(i), n).encode().split() for i, n in enumerate((0, 1, 9, 40, 333))]
-    counts = np.bincount(np.concatenate([subwords.flat(t)[0] for t in texts if t]), minlength=subwords.size + 1).astype(float)
-    voc = lm.Vocabulary(counts)
+def test_training_takes_every_subword_of_every_text():
+    texts = little_texts()
+    subwords, voc, _ = little_vocabulary(texts)
+    seen = []
+    trainer = lm.Trainer(lm.Attention(), voc, 0.01)
+    trainer.step = lambda before, ids, weight: seen.append((before[weight > 0], ids[weight > 0]))
+    store = lm.Words(subwords)
+    for i in range(0, len(texts), 2):
+        trainer.add(store.flat(store.slots([w for t in texts[i : i + 2] for w in t]))[0])
+    trainer.flush()
+    want = [i for t in texts for w in t for i in np.frombuffer(subwords.ids(w), np.int32).tolist()]
+    assert Counter(np.concatenate([s for _, s in seen]).tolist()) == Counter(want)
+
+
+def test_training_lowers_the_loss_and_weights_average_in_a_tree(spark):
+    texts = little_texts() * 30
+    subwords, voc, _ = little_vocabulary(texts)
+    store, model = lm.Words(subwords), lm.Attention()
+    trainer = lm.Trainer(model, voc, 0.03)
+    ids = store.flat(store.slots([w for t in texts for w in t]))[0]
+    windows = ids[: len(ids) // lm.WINDOW * lm.WINDOW].reshape(-1, lm.WINDOW)
+    before = np.concatenate([[voc.size - 1], windows.ravel()[:-1]]).reshape(windows.shape)
+    loss = lambda: -model.log_classes(voc.inputs[before], voc.bias[before.ravel()], voc.classes[windows])[0].mean()
+    old = loss()
+    for _ in range(20):
+        trainer.add(ids)
+    trainer.flush()
+    assert loss() < old
+    parts = [(k, 1 + k % 3, np.full(4, float(k), np.float32).tobytes()) for k in range(150)]
+    got = np.frombuffer(lm.averaged(spark.createDataFrame(parts, "k long, n long, blob binary"), fan=4), np.float32)
+    assert np.allclose(got, np.average(range(150), weights=[1 + k % 3 for k in range(150)]), rtol=1e-4)
+    assert lm.averaged(spark.createDataFrame([], "k long, n long, blob binary")) is None
+
+
+@pytest.mark.parametrize("mix", [1e-9, 0.5])
+def test_scores_are_the_models_probabilities_one_subword_at_a_time(mix):
+    texts = little_texts()
+    subwords, voc, single = little_vocabulary(texts)
     model = lm.Attention()
-    for k in model.p:
-        model.p[k] *= 0  # every class is as likely as any other
-    scorer = lm.Scorer(voc, np.zeros((lm.CLASSES + 1, voc.size), np.float32), model)
-    sizes = [len(subwords.flat(t)[0]) + 1 if t else 1 for t in texts]
-    assert np.allclose(scorer(subwords, texts), [-n * math.log10(lm.CLASSES) for n in sizes], rtol=1e-5)
-
-
-def test_odds_within_classes_sum_to_one():
-    voc = lm.Vocabulary(np.random.default_rng(0).integers(0, 50, 300).astype(float))
-    within = voc.within(np.array([0, 0, lm.CLASSES]), np.array([5, 9, 20]), np.array([3, 4, 5]))
-    for row in (0, 1, lm.CLASSES):
-        assert np.allclose(np.bincount(voc.classes, np.exp(within[row]), lm.CLASSES)[np.unique(voc.classes)], 1, atol=1e-3)
+    rng = np.random.default_rng(5)
+    model.p = {k: (v + rng.standard_normal(v.shape) * 0.3).astype(np.float32) for k, v in model.p.items()}
+    tier = [w for w, _ in Counter(w for t in texts for w in t).most_common(30)]
+    count = Counter(w for t in texts for w in t)
+    share = np.array([count[w] / sum(count.values()) for w in tier])
+    packed = list(map(subwords.ids, tier))
+    scorer = lm.Scorer(voc, model, np.log(share), np.array([np.frombuffer(p, np.int32)[0] for p in packed]), mix)
+    store = lm.Words(subwords, tier, packed, voc.within)
+    got = scorer(store, store.slots([w for t in texts for w in t]), np.array(list(map(len, texts))))
+
+    pair = {}
+    for t in texts:
+        for w in t:
+            ids = np.frombuffer(subwords.ids(w), np.int32).tolist()
+            for a, b in zip(ids, ids[1:]):
+                pair[a, b] = pair.get((a, b), 0) + 1
+    alone = lambda i: (single[i] + 0.1) / sum(single[j] + 0.1 for j in members[voc.classes[i]])
+    members = {k: np.flatnonzero(voc.classes == k) for k in range(lm.CLASSES)}
+    cache = {}
+
+    def single_odds(i):
+        return cache.setdefault(i, alone(i))
+
+    def classes_after(context):
+        """Softmax over classes with the context's last WINDOW subwords as ``scores`` windows them."""
+        pos = len(context) - 1  # place of the target in its text
+        step = lm.WINDOW - lm.CONTEXT
+        k = 0 if pos < lm.WINDOW else (pos - lm.CONTEXT) // step
+        own = np.array(context[k * step : pos + 1])
+        e = model.p["e"][voc.inputs[own]] + model.p["pos"][: len(own)]
+        q, key, v = np.split(e @ model.p["qkv"], 3, axis=1)
+        a = np.exp(q[-1] @ key.T / math.sqrt(lm.WIDTH))
+        h = e[-1] + (a / a.sum()) @ v @ model.p["o"]
+        z = np.exp((h @ model.p["u"] + model.p["b"] + voc.bias[own[-1]]).astype(np.float64))
+        return z / z.sum()
+
+    kind_share = np.zeros(lm.CLASSES)
+    for w, s in zip(tier, share):
+        kind_share[voc.classes[np.frombuffer(subwords.ids(w), np.int32)[0]]] += s
+    for t, score in zip(texts, got):
+        context, total = [voc.size - 1], 0.0
+        p = classes_after(context)
+        total += math.log(p[: lm.BEGINNING].sum())
+        for nth, w in enumerate(t):
+            ids = np.frombuffer(subwords.ids(w), np.int32).tolist()
+            opening = p[voc.classes[ids[0]]] / p[: lm.BEGINNING].sum()
+            spelt = opening * single_odds(ids[0])
+            for a, b in zip(ids, ids[1:]):
+                context.append(a)
+                p = classes_after(context)
+                row = sum(n for (x, y), n in pair.items() if x == a and voc.classes[y] == voc.classes[b])
+                spelt *= p[voc.classes[b]] * (pair.get((a, b), 0) + lm.STRENGTH * single_odds(b)) / (row + lm.STRENGTH)
+            context.append(ids[-1])
+            if nth + 1 < len(t):
+                p = classes_after(context)
+                spelt *= p[: lm.BEGINNING].sum()
+            listed = opening * share[tier.index(w)] / kind_share[voc.classes[ids[0]]] if w in tier else 0.0
+            total += math.log(mix * listed + (1 - mix) * spelt)
+        assert math.isclose(score, total / math.log(10), rel_tol=1e-4)
+
+
+def test_odds_sum_to_one():
+    texts = little_texts()
+    _, voc, _ = little_vocabulary(texts)
+    assert np.allclose(np.exp(voc.bias).sum(axis=1), 1, atol=1e-3)
+    for ids in (np.flatnonzero(voc.classes == k) for k in range(lm.BEGINNING, lm.CLASSES)):
+        before = 300
+        pairs = np.column_stack([np.full(len(ids), before), ids]).ravel()
+        assert np.isclose(np.exp(voc.within(pairs, np.arange(0, len(pairs), 2)) - np.log(voc.single[before])).sum(), 1, atol=1e-6)
+
+
+def test_forgotten_words_are_learnt_again(monkeypatch):
+    monkeypatch.setattr(lm, "CACHE_BYTES", 2000)
+    subwords = lm.Subwords()
+    tier = [b"the", lm.END]
+    store = lm.Words(subwords, tier, list(map(subwords.ids, tier)))
+    rng = random.Random(2)
+    for _ in range(40):
+        some = [rng.choice([b"the", lm.END, b"w%d" % rng.randint(0, 500), b"x" * 700]) for _ in range(30)]
+        ids, first = store.flat(store.slots(some))
+        assert ids.tobytes() == b"".join(map(subwords.ids, some)) and len(first) == len(some)
 
 
 # 10 ----------------------------------------------------------------------------------------------
