@@ -83,6 +83,53 @@ def test_relaxed_pruning_does_less_and_keeps_recall():
     assert less <= made and recall >= 0.9
 
 
+def test_ties_everywhere_make_no_deep_tree():
+    for rows in (np.eye(3000), np.ones((3000, 4)), np.repeat(np.eye(4), 700, axis=0)):
+        n = len(rows)
+        tree = ann.Tree(np.arange(n), rows, 1.5)
+        score, who, _ = tree.search(np.arange(0, n, 500), rows[::500], 5, 1.0)
+        for q, got, near in zip(range(0, n, 500), score, who):
+            every = rows @ rows[q]
+            want = sorted((i for i in range(n) if i != q), key=lambda i: (-every[i], i))[:5]
+            assert list(got) == [every[i] for i in want] and list(near) == want
+
+
+def test_queries_visit_few_cells_and_keep_recall(spark):
+    rng = np.random.default_rng(3)
+    centers = rng.standard_normal((32, 16)) * 4
+    x = centers[rng.integers(0, 32, 4000)] + rng.standard_normal((4000, 16)) * 0.3
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    index = ann.build_index(table, shard_rows=125)
+    assert index.shards.count() >= 32
+    queries = table.where("vec_id % 20 = 0")
+    sim = x @ x.T
+    np.fill_diagonal(sim, -9)
+    want = {i: set(np.argsort(-sim[i], kind="stable")[:10].tolist()) for i in range(0, 4000, 20)}
+    for factor, least in ((1.0, 1.0), (1.5, 0.9)):
+        got = {}
+        for r in ann.search(index, queries, 10, factor).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        assert np.mean([len(got[i] & want[i]) / 10 for i in want]) >= least
+    # what is sent: the home cell, then the cells that the k-th distance leaves open
+    asked = ann.usable(queries).selectExpr("vec_id", "v", "size(v) as dim", "double('-inf') as floor")
+    home = ann.visits(index, asked)
+    assert home.count() == 200
+    kth = ann.nearest(ann.met(index, home, 10, 1.0), 10).where("rank = 10").selectExpr("query_id as vec_id", "score as floor")
+    others = ann.visits(index, asked.drop("floor").join(kth, "vec_id"), 1.0).count()
+    assert others < 200 * index.shards.count() / 4
+
+
+def test_search_of_odd_tables(spark):
+    kind = "vec_id long, embedding array<double>, rank int, v string"
+    none = spark.createDataFrame([], kind)
+    some = spark.createDataFrame([(1, [1.0, 0.0], 1, ""), (1, [1.0, 0.0], 1, ""), (2, [0.0, 1.0], 2, None), (20, [1.0, 1.0], 3, "")], kind)
+    assert ann.search(ann.build_index(none), some).count() == 0
+    assert ann.search(ann.build_index(some), none).count() == 0
+    got = ann.search(ann.build_index(some, shard_rows=1), some.where("vec_id = 20"), 5).collect()
+    assert sorted((r.rank, r.vec_id, r.score) for r in got) == [(1, 1, 1.0), (2, 1, 1.0), (3, 2, 1.0)]
+
+
 # 2 -----------------------------------------------------------------------------------------------
 
 
