@@ -4,14 +4,16 @@ Numbers, names and units become typed placeholders, so a question with other par
 template. Windows of five template words of the benchmark are hashed and broadcast in batches of a
 bounded size; the documents' windows meet them by a hash join without a shuffle. A document holds an
 item if at least 0.8 of the item's windows are found and the slots agree: every value of the item
-stands for one value of the document throughout, and no two values for the same one.
+stands for one value of the document throughout (two values may become the same one). Matches on
+diagonals a few words apart are one copy, so a word put in or left out does not split it; the windows
+of one copy count together, or those of the whole document where all its slots agree.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import written
@@ -19,8 +21,10 @@ from corpusloom.llm.common import written
 WORDS, COVERAGE = 5, 0.8
 #: Windows with fewer literal words than this say nothing.
 LITERALS = 3
-#: Benchmark windows in one broadcast (about 40 bytes each).
-BATCH = 1_000_000
+#: Benchmark windows in one broadcast: four numbers, below 100 bytes in the hash table, so 50 MB at most.
+BATCH = 500_000
+#: Diagonals at most so many words apart belong to one copy.
+SLIP = 8
 
 #: Placeholders from the private use area, and unit words that may follow a number.
 NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
@@ -60,57 +64,73 @@ def _windows(size: int) -> Column:
     return F.expr(f"case when size(t) >= {size} then transform(sequence(0, size(t) - {size}), i -> xxhash64({at})) when size(t) > 0 then array(xxhash64(size(t), array_join(t, ' '))) end")
 
 
-def windows(table: DataFrame, key: str, size: int = WORDS, form=template) -> DataFrame:
-    """(key, text, n, pos, h): a row for each window of the text's ``form``."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = table.select(F.col(key).cast("long").alias(key), text.alias("text")).withColumn("t", words(form(F.col("text"))))
-    rows = rows.select(key, "text", F.size("t").alias("n"), _windows(size).alias("hs"))
+def windows(table: DataFrame, key: str, size: int = WORDS, form=template, own: bool = False) -> DataFrame:
+    """(key, n, pos, h) and, with ``own``, the text's literal words: a row for each window of the text's ``form``.
+
+    The words are cut once for each row; what is exploded only refers to them.
+    """
+    rows = table.select(F.col(key).cast("long").alias(key), F.coalesce(F.col("text"), F.lit("")).alias("x")).withColumn("t", words(form(F.col("x"))))
+    kept = [key, F.size("t").alias("n"), *([words(literal(F.col("x"))).alias("own")] if own else [])]
+    rows = rows.select(*kept, _windows(size).alias("hs"))
     # the outer form: the inner one would add a filter below that computes the windows once more
-    return rows.select(key, "text", "n", F.posexplode_outer("hs").alias("pos", "h")).where("h is not null")
+    return rows.select(key, "n", *(["own"] if own else []), F.posexplode_outer("hs").alias("pos", "h")).where("h is not null")
 
 
 def benchmark_windows(benchmark: DataFrame, size: int = WORDS, literals: int = LITERALS) -> DataFrame:
-    """(item_id, h, ipos, total, slots, iv): the windows of each item that say something.
+    """(item_id, h, ipos, total, mask, iv): the windows of each item that say something.
 
-    ``iv`` holds the literal words of a window with slots. Items of fewer words than a window only
-    match documents that consist of the same words, whatever they are.
+    ``mask`` has a bit for each slot and ``iv`` the literal words of a window with slots. Items of
+    fewer words than a window only match documents that consist of the same words, whatever they are.
     """
-    rows = windows(benchmark, "item_id", size).where("item_id is not null")
-    rows = rows.withColumn("w", F.slice(words(template(F.col("text"))), F.col("pos") + 1, size))
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("x")).where("item_id is not null")
+    rows = rows.withColumn("t", words(template(F.col("x")))).select("item_id", F.size("t").alias("n"), "t", words(literal(F.col("x"))).alias("own"), _windows(size).alias("hs"))
+    rows = rows.select("item_id", "n", "t", "own", F.posexplode_outer("hs").alias("ipos", "h")).where("h is not null")
+    rows = rows.select("item_id", "n", "ipos", "h", F.slice("t", F.col("ipos") + 1, size).alias("w"), F.slice("own", F.col("ipos") + 1, size).alias("iv"))
     marks = F.array(F.lit(NUMBER), F.lit(NAME), F.lit(UNIT))
-    rows = rows.withColumn("mask", F.transform("w", lambda x: F.array_contains(marks, x))).withColumn("slots", F.size(F.filter("mask", lambda x: x)))
-    rows = rows.where((F.col("n") < size) | (F.size("w") - F.col("slots") >= literals))
-    rows = rows.withColumn("iv", F.when(F.col("slots") > 0, F.slice(words(literal(F.col("text"))), F.col("pos") + 1, size)))
-    total = rows.groupBy("item_id").agg(F.count_distinct("pos").alias("total"))
-    rows = rows.select("item_id", "h", F.col("pos").alias("ipos"), "slots", "mask", "iv").distinct()
-    return rows.join(total, "item_id")
+    bits = F.transform("w", lambda x, i: F.when(F.array_contains(marks, x), F.call_function("shiftleft", F.lit(1), i)).otherwise(0))
+    rows = rows.withColumn("mask", F.aggregate(bits, F.lit(0), lambda a, x: a + x))
+    rows = rows.where((F.col("n") < size) | (F.size("w") - F.bit_count("mask") >= literals))
+    rows = rows.select("item_id", "h", "ipos", "mask", F.when(F.col("mask") > 0, F.col("iv")).alias("iv")).distinct()
+    return rows.join(rows.groupBy("item_id").agg(F.count_distinct("ipos").alias("total")), "item_id")
+
+
+def met(own: DataFrame, side: DataFrame, batch: int, *columns) -> DataFrame:
+    """``columns`` of the windows ``own`` that meet ``side`` by h, which is broadcast ``batch`` rows at a time."""
+    batches = max(1, math.ceil(side.count() / batch))
+    found = None
+    for k in range(batches):
+        part = side if batches == 1 else side.where(F.pmod(F.col("h"), F.lit(batches)) == k)
+        rows = own.join(F.broadcast(part), "h").select(*columns)
+        found = rows if found is None else found.unionByName(rows)
+    return found
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WORDS, coverage: float = COVERAGE, batch: int = BATCH) -> DataFrame:
     """(doc_id, item_id, n_windows, n_matched, coverage, kind) for every document that holds an item.
 
     ``kind`` is verbatim, or reparameterised where a slot's value differs. Null texts and texts or
-    items without words match nothing; rows without an id take no part; rows that repeat count once.
+    items without words match nothing; rows without an id take no part; rows that repeat count once;
+    further columns are ignored; an empty table on either side gives an empty result. A very long text
+    costs its length: its words are cut once, and a match takes its five words from them.
     """
     bench = written(benchmark_windows(benchmark, size), "benchmark")
-    batches = max(1, math.ceil(bench.count() / batch))
-    own = windows(docs, "doc_id", size).where("doc_id is not null")
-    found = None
-    for k in range(batches):
-        side = bench if batches == 1 else bench.where(F.pmod(F.col("h"), F.lit(batches)) == k)
-        met = own.join(F.broadcast(side), "h")
-        # the document's words are cut out only where a window with slots has met
-        dv = F.when(F.col("slots") > 0, F.slice(words(literal(F.col("text"))), F.col("pos") + 1, size))
-        met = met.select("doc_id", "item_id", "total", (F.col("pos") - F.col("ipos")).alias("diag"), "ipos", "mask", "iv", dv.alias("dv"))
-        found = met if found is None else found.unionByName(met)
-    pairs = F.expr("coalesce(filter(zip_with(zip_with(mask, iv, (m, x) -> if(m, x, null)), dv, (x, y) -> if(x is null, null, struct(x as i, y as d))), p -> p is not null), array())")
+    own = windows(docs, "doc_id", size, own=True).where("doc_id is not null")
+    # the document's words are taken only where a window with slots has met
+    dv = F.when(F.col("mask") > 0, F.slice("own", F.col("pos") + 1, size))
+    found = met(own, bench.select("h", "item_id", "ipos", "mask"), batch, "doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("diag"), "ipos", dv.alias("dv")).distinct()
+    found = found.join(bench.select("item_id", "ipos", "total", "mask", "iv"), ["item_id", "ipos"])
+    pairs = F.expr("coalesce(filter(transform(iv, (x, i) -> if((mask & shiftleft(1, i)) = 0, null, struct(x as i, dv[i] as d))), p -> p is not null), array())")
     found = found.select("doc_id", "item_id", "total", "diag", "ipos", pairs.alias("p"))
-    line = found.groupBy("doc_id", "item_id", "diag").agg(F.first("total").alias("total"), F.collect_set("ipos").alias("hit"), F.array_distinct(F.flatten(F.collect_set("p"))).alias("p"))
-    agree = (F.size("p") == F.size(F.array_distinct(F.transform("p", lambda x: x["i"])))) & (F.size("p") == F.size(F.array_distinct(F.transform("p", lambda x: x["d"]))))
-    line = line.where(agree).withColumn("moved", F.exists("p", lambda x: x["i"] != x["d"]))
-    item = line.groupBy("doc_id", "item_id").agg(F.first("total").cast("long").alias("n_windows"), F.size(F.array_distinct(F.flatten(F.collect_set("hit")))).cast("long").alias("n_matched"), F.bool_or("moved").alias("moved"))
-    item = item.withColumn("coverage", F.col("n_matched") / F.col("n_windows")).where(F.col("coverage") >= coverage)
-    return item.select("doc_id", "item_id", "n_windows", "n_matched", "coverage", F.when(F.col("moved"), "reparameterised").otherwise("verbatim").alias("kind"))
+    order = Window.partitionBy("doc_id", "item_id").orderBy("diag")
+    found = found.withColumn("jump", (F.col("diag") - F.lag("diag").over(order) > SLIP).cast("int"))
+    found = found.withColumn("part", F.sum(F.coalesce("jump", F.lit(1))).over(order))
+    # each copy by itself, and all of them as one
+    found = found.withColumn("part", F.explode(F.array("part", F.lit(0).cast("long"))))
+    copy = found.groupBy("doc_id", "item_id", "part").agg(F.first("total").alias("n_windows"), F.count_distinct("ipos").alias("n_matched"), F.array_distinct(F.flatten(F.collect_set("p"))).alias("p"))
+    copy = copy.where(F.size("p") == F.size(F.array_distinct(F.transform("p", lambda x: x["i"])))).withColumn("moved", F.exists("p", lambda x: x["i"] != x["d"]))
+    copy = copy.withColumn("coverage", F.col("n_matched") / F.col("n_windows")).where(F.col("coverage") >= coverage)
+    item = copy.groupBy("doc_id", "item_id").agg(F.min(F.struct(-F.col("n_matched"), "moved", "n_windows", "n_matched", "coverage")).alias("b"))
+    return item.select("doc_id", "item_id", "b.n_windows", "b.n_matched", "b.coverage", F.when(F.col("b.moved"), "reparameterised").otherwise("verbatim").alias("kind"))
 
 
 def verbatim(docs: DataFrame, benchmark: DataFrame, size: int = WORDS, coverage: float = COVERAGE, batch: int = BATCH) -> DataFrame:
@@ -122,12 +142,8 @@ def verbatim(docs: DataFrame, benchmark: DataFrame, size: int = WORDS, coverage:
     total = rows.groupBy("item_id").agg(F.count_distinct("ipos").alias("n_windows"))
     bench = written(rows.join(total, "item_id"), "verbatim")
     batches = max(1, math.ceil(bench.count() / batch))
-    own = windows(docs, "doc_id", size, literal).where("doc_id is not null").select("doc_id", "h")
-    found = None
-    for k in range(batches):
-        side = bench if batches == 1 else bench.where(F.pmod(F.col("h"), F.lit(batches)) == k)
-        met = own.join(F.broadcast(side), "h").select("doc_id", "item_id", "n_windows", "ipos")
-        found = met if found is None else found.unionByName(met)
+    own = windows(docs, "doc_id", size, literal).where("doc_id is not null")
+    found = met(own, bench, batch, "doc_id", "item_id", "n_windows", "ipos")
     item = found.groupBy("doc_id", "item_id", "n_windows").agg(F.count_distinct("ipos").alias("n_matched"))
     return item.where(F.col("n_matched") / F.col("n_windows") >= coverage)
 

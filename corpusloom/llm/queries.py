@@ -150,12 +150,15 @@ b2 as (select distinct item_id, h, ipos, w, iv, count(distinct ipos) over (parti
 d as ({side("documents", "doc_id")}),
 m as (select d.k as doc_id, item_id, total, pos - ipos as diag, ipos,
   list_filter(list_transform(range(1, len(b2.w) + 1), lambda i: case when {slot.replace("w[", "b2.w[")} then [iv[i], d.v[i]] end), lambda p: p is not null) as p from d join b2 on d.h = b2.h),
-l as (select doc_id, item_id, diag, any_value(total) as total, list(distinct ipos) as hit, list_distinct(flatten(list(p))) as p from m group by all),
-l2 as (select *, len(list_filter(p, lambda y: y[1] <> y[2])) > 0 as moved from l
-  where len(p) = len(list_distinct(list_transform(p, lambda y: y[1]))) and len(p) = len(list_distinct(list_transform(p, lambda y: y[2])))),
-i as (select doc_id, item_id, any_value(total)::bigint as n_windows, len(list_distinct(flatten(list(hit))))::bigint as n_matched, bool_or(moved) as moved from l2 group by doc_id, item_id)
-select doc_id, item_id, n_windows, n_matched, n_matched::double / n_windows as coverage, case when moved then 'reparameterised' else 'verbatim' end as kind
-from i where n_matched::double / n_windows >= 0.8
+g0 as (select distinct doc_id, item_id, diag from m),
+g1 as (select *, case when diag - lag(diag) over (partition by doc_id, item_id order by diag) <= {decontam.SLIP} then 0 else 1 end as jump from g0),
+g as (select *, sum(jump) over (partition by doc_id, item_id order by diag) as part from g1),
+mm as (select m.*, g.part from m join g using (doc_id, item_id, diag) union all select *, 0 from m),
+l as (select doc_id, item_id, part, any_value(total)::bigint as n_windows, count(distinct ipos)::bigint as n_matched, list_distinct(flatten(list(p))) as p from mm group by all),
+l2 as (select *, n_matched::double / n_windows as coverage, len(list_filter(p, lambda y: y[1] <> y[2])) > 0 as moved from l
+  where len(p) = len(list_distinct(list_transform(p, lambda y: y[1]))))
+select doc_id, item_id, n_windows, n_matched, coverage, case when moved then 'reparameterised' else 'verbatim' end as kind
+from l2 where coverage >= 0.8 qualify row_number() over (partition by doc_id, item_id order by n_matched desc, moved) = 1
 """
 
 

@@ -172,6 +172,34 @@ def test_inconsistent_slots_are_no_leak(spark):
     assert [r.doc_id for r in got] == [2]
 
 
+def test_slots_are_checked_one_way_and_over_a_whole_copy(spark):
+    item = "alpha beta gamma 3 delta epsilon zeta 4 eta theta iota 5 kappa lambda mu nu"
+    put = lambda a, b, c: item.replace(" 3 ", f" {a} ").replace(" 4 ", f" {b} ").replace(" 5 ", f" {c} ")
+    slipped = item.replace("delta", "delta extra")
+    twice = "alpha beta gamma 7 delta epsilon zeta 7 eta theta iota 9 kappa lambda mu nu"
+    texts = [put(5, 5, 9), put(4, 4, 4), slipped, put(8, 6, 7) + " . far away " * 9 + put(1, 2, 3), twice.replace("delta", "delta extra")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted((r.doc_id, r.kind) for r in decontam.contaminated(docs, bench, coverage=0.5).collect()) == [(0, "reparameterised"), (1, "reparameterised"), (2, "verbatim"), (3, "reparameterised"), (4, "reparameterised")]
+    # one value of the item stands for two of the document, on two diagonals of one copy
+    same = item.replace(" 4 ", " 3 ")
+    broken = same.replace(" 3 delta", " 6 delta extra").replace("zeta 3", "zeta 8")
+    got = decontam.contaminated(spark.createDataFrame([(0, broken)], "doc_id long, text string"), spark.createDataFrame([(1, same)], "item_id long, text string"), coverage=0.5)
+    assert got.count() == 0
+
+
+def test_long_repetitive_texts_take_linear_time(spark):
+    import time
+
+    text = "in the year 7 of our house there were many good people " * 2200
+    docs = spark.createDataFrame([(1, text, "x", 1)], "doc_id long, text string, h string, pos int")
+    bench = spark.createDataFrame([(1, "in the year 7 of our house there were many good people")], "item_id long, text string")
+    begin = time.perf_counter()
+    assert decontam.contaminated(docs, bench).count() == 1
+    assert time.perf_counter() - begin < 15
+    assert decontam.contaminated(docs, bench.limit(0)).count() == 0 and decontam.contaminated(docs.limit(0), bench).count() == 0
+
+
 # 4 -----------------------------------------------------------------------------------------------
 
 
