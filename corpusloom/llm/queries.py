@@ -163,8 +163,8 @@ from l2 where coverage >= 0.8 qualify row_number() over (partition by doc_id, it
 
 
 def sql_op2() -> str:
-    """The same vectors over all lines, without the anchors."""
-    known = ", ".join(f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate(licenses.TEMPLATES))
+    """The same vectors over all windows of all files, without the anchors."""
+    known = ", ".join(f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate(licenses.TEMPLATES + licenses.TEXTS))
     terms = f"regexp_extract_all(lower({{}}), '{licenses.TERM}')"
     return f"""
 with known(template, license, text) as (values {known}),
@@ -176,16 +176,19 @@ idf as (select term, ln((1.0 + (select count(*) from f)) / (1.0 + coalesce(df, 0
 rare as (select ln(1.0 + (select count(*) from f)) + 1.0 as idf),
 kw as (select template, license, term, tf * idf as w from kv join idf using (term)),
 kn as (select *, w / sqrt(sum(w * w) over (partition by template)) as tw from kw),
-ln0 as (select doc_id, len({terms.format("text")}) as file_terms, unnest(string_split(text, chr(10))) as own, generate_subscripts(string_split(text, chr(10)), 1) as line from f),
-lt as (select doc_id, line, file_terms, len({terms.format("own")}) as line_terms, unnest({terms.format("own")}) as term from ln0),
-tf as (select doc_id, line, file_terms, line_terms, term, count(*) as tf from lt group by all),
+ln0 as (select doc_id, list_transform(string_split(text, chr(10)), lambda x: {terms.format("x")}) as ls from f where text is not null),
+ln1 as (select *, len(ls) as n, len(flatten(ls)) as file_terms from ln0),
+wn as (select doc_id, file_terms, s, k, flatten(ls[s:s + k - 1]) as ts from (select *, unnest(range(1, {licenses.LINES} + 1)) as k from (select *, unnest(range(1, n + 1)) as s from ln1)) where s + k - 1 <= n
+  union all select doc_id, file_terms, 1, n, flatten(ls) from ln1 where n > {licenses.LINES}),
+lt as (select doc_id, s, k, file_terms, len(ts) as line_terms, unnest(ts) as term from wn where len(ts) > 0),
+tf as (select doc_id, s, k, file_terms, line_terms, term, count(*) as tf from lt group by all),
 tw as (select tf.*, tf * coalesce(idf.idf, rare.idf) as w from tf left join idf using (term) cross join rare),
-own as (select doc_id, line, file_terms, line_terms, sqrt(sum(w * w)) as norm from tw group by all),
-dot as (select doc_id, line, template, license, sum(tw.w * kn.tw) as dot from tw join kn using (term) group by all),
-best as (select doc_id, line, file_terms, line_terms, template, license, round(dot / norm, 6) as cosine from dot join own using (doc_id, line) where round(dot / norm, 6) >= {licenses.COSINE}),
-top as (select * from best qualify row_number() over (partition by doc_id, line order by cosine desc, template) = 1),
-per as (select doc_id, sum(line_terms) / max(file_terms) as share, max([cosine, -line]) as b from top group by doc_id),
-lic as (select per.doc_id, top.license as own, top.cosine, case when share >= {licenses.FILE_SHARE} then 'file' else 'header' end as kind from per join top on top.doc_id = per.doc_id and top.line = -b[2]),
+own as (select doc_id, s, k, file_terms, line_terms, sqrt(sum(w * w)) as norm from tw group by all),
+dot as (select doc_id, s, k, template, license, sum(tw.w * kn.tw) as dot from tw join kn using (term) group by all),
+best as (select doc_id, s, k, file_terms, line_terms, template, license, round(dot / norm, 6) as cosine from dot join own using (doc_id, s, k) where round(dot / norm, 6) >= {licenses.COSINE}),
+top as (select * from best qualify row_number() over (partition by doc_id order by cosine desc, s, k, template) = 1),
+per as (select doc_id, max(line_terms / file_terms) as share from best group by doc_id),
+lic as (select doc_id, top.license as own, top.cosine, case when share >= {licenses.FILE_SHARE} then 'file' else 'header' end as kind from per join top using (doc_id)),
 votes as (select dir, own, count(*) as n from lic join f using (doc_id) where kind = 'file' group by all),
 held as (select * from votes qualify row_number() over (partition by dir order by n desc, own) = 1),
 up as (select d.dir, held.dir as above, held.own as passed from (select distinct dir from f) d join held on d.dir = held.dir or starts_with(d.dir, held.dir || '/')

@@ -147,6 +147,32 @@ def test_licences_of_no_files(spark):
     assert licenses.scan(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
+def test_wrapped_headers_and_whole_licence_texts(spark):
+    text = dict(licenses.TEXTS)
+    wrap = lambda t, n, mark="": "\n".join(mark + " ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    header = "This program is free software: you can redistribute it\nand/or modify it under the terms of the GNU General\nPublic License as published by the Free Software\nFoundation, either version 3 of the License, or\n(at your option) any later version.\n"
+    rows = [
+        ("/p/LICENSE", "Copyright (c) 2020 Some One\n\n" + wrap(text["MIT"], 11)),
+        ("/p/deep/code.py", "x = 1"),
+        ("/q/code.py", "".join(f"# {line}\n" for line in header.split("\n")) + "other words of code and more of them here\n" * 60),
+        ("/r/BSD", wrap(text["BSD-2-Clause"], 9)),
+        ("/r/BSD3", wrap(text["BSD-3-Clause"], 9, " * ")),
+        ("/s/same", "Released under the MIT License."),
+        ("/s/same", "nothing"),
+        (None, "Released under the MIT License."),
+        ("/t/" + "d/" * 40 + "long", "word " * 50_000 + "\n" * 3000 + "Released under the ISC License."),
+    ]
+    files = spark.createDataFrame([(*r, 1, "x") for r in rows], "path string, text string, cosine int, own string")
+    got = [(r.path, r.license, r.origin) for r in licenses.scan(files).collect()]
+    assert sorted(got, key=str) == sorted([("/p/LICENSE", "MIT", "file"), ("/p/deep/code.py", "MIT", "inherited"), ("/q/code.py", "GPL-3.0", "header"), ("/r/BSD", "BSD-2-Clause", "file"), ("/r/BSD3", "BSD-3-Clause", "file"), ("/s/same", "MIT", "file"), ("/s/same", "MIT", "inherited"), (None, "MIT", "file"), (rows[-1][0], "ISC", "header")], key=str)
+
+
+def test_tries_match_their_words():
+    some = ["license", "licensed", "lice", "mit", "2.0", "2", "mine"]
+    assert all(re.fullmatch(licenses.trie(some), w) for w in some)
+    assert not any(re.fullmatch(licenses.trie(some), w) for w in ("licens", "mi", "2x0", "", "min"))
+
+
 # 3 -----------------------------------------------------------------------------------------------
 
 ITEM = "A train leaves Oldtown at 40 km per hour and Anna waits for it during 15 minutes near the old bridge"
