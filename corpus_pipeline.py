@@ -21,7 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each set of near copies stays: the one with the smallest doc_id.
 
-    Near copies have a Jaccard of 0.8 or more over five-word shingles, or are joined by such pairs.
+    Near copies have a Jaccard of 0.8 or more over five-word shingles, or are joined by such pairs;
+    candidates come from the SimHash grid join and, beyond its radius, from min-hash keys.
 
     Documents without a doc_id cannot be told apart by one and stay.
     """
@@ -45,13 +46,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", drop_toxic),
-    ("near-dedup", keep_one_of_each),
+    ("SimHash near-dedup", keep_one_of_each),
     ("benchmark decontamination", drop_leaks),
     ("personal data", mask_personal_data),
     ("source mix", mix_sources),
 ]
 
-#: The first stage's model has no SQL form; tests hold the stages against brute force instead.
+#: The first stage's model has no SQL form; a test holds run() against a brute-force pipeline.
 ORACLE_SQL = None
 
 

@@ -1,10 +1,13 @@
-"""Near copies by the Jaccard of word shingles: min-hash bands for candidates, then an exact check.
-
-Texts with the same shingles are one class. A class has 32 keys of four minima each; two classes of
-Jaccard 0.8 share none of them with a probability of 5e-8 (less above), and only that can lose a pair.
-Each class is compared with the smallest and largest of every key it has, which is linear in a large
-group and mostly joins it up; then all pairs of a key that are still apart are compared. Only classes
-that meet another are moved with their shingles.
+"""Near copies by the Jaccard of word shingles: SimHash and min-hash candidates, then an exact check.
+
+Texts with the same shingles are one class. Classes whose SimHash fingerprints (over their shingles)
+the grid join of ``simhash`` finds within two bits are candidates; that is exact for its radius but
+reaches only copies of a few per cent, since a pair of Jaccard 0.8 differs in ten bits or so. For the
+rest a class has 32 keys of four minima each; two classes of Jaccard 0.8 share none of them with a
+probability of 5e-8 (less above), and only that can lose a pair. Each class is compared with the
+smallest and largest of every key it has, which is linear in a large group and mostly joins it up;
+then all pairs of a key that are still apart are compared. Only classes that meet another are moved
+with their shingles.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import arrow_batches, text_bytes, written
-from corpusloom.llm.simhash import SEED, components, one_of_each
+from corpusloom.llm.simhash import SEED, components, links, one_of_each
 
 WORDS, JACCARD = 5, 0.8
 BANDS, MINIMA = 32, 4
@@ -57,31 +60,56 @@ def band_keys(own: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, MINIMA))], np.uint64).view(np.int64)
 
 
+def simhash(own: np.ndarray) -> int:
+    """64-bit SimHash of distinct shingle hashes."""
+    if not len(own):
+        return 0
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(own), 1 << 14):
+        ones += np.unpackbits(own[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(own)).tobytes(), "big", signed=True)
+
+
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, th, fp, n, keys) for every row: the text's hash, its class, its shingles and its band keys."""
+    """(doc_id, th, fp, n, sh, keys) for every row: the text's hash, its class, its shingles, their SimHash and its band keys."""
     arrow_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            sets = [shingles(t, words) for t in batch.column(2).to_pylist()]
+            sets = [shingles(t.as_py(), words) for t in batch.column(2)]
             fps = np.array([class_key(s) for s in sets], np.uint64).view(np.int64)
             keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), keys], ["doc_id", "th", "fp", "n", "keys"])
+            arrays = [batch.column(0), batch.column(1), pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), pa.array([simhash(s) for s in sets], pa.int64()), keys]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "th", "fp", "n", "sh", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), text_bytes().alias("t")).mapInArrow(run, "doc_id long, th long, fp long, n long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), text_bytes().alias("t")).mapInArrow(run, "doc_id long, th long, fp long, n long, sh long, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame, owners: DataFrame, words: int = WORDS) -> DataFrame:
-    """(fp, s): the shingles of each class of ``owners`` (fp, doc_id, th), which names one row of it."""
+    """(fp, s): the shingles of each class of ``owners`` (fp, doc_id, th), which names one row of it; rows that repeat may come out again."""
     arrow_batches(docs.sparkSession)
 
     def run(batches):
+        seen: set = set()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, words).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["fp", "s"])
+            fps = batch.column(0).to_pylist()
+            new = [i for i, fp in enumerate(fps) if not (fp in seen or seen.add(fp))]
+            yield pa.RecordBatch.from_arrays([pa.array([fps[i] for i in new], pa.int64()), pa.array([shingles(batch.column(1)[i].as_py(), words).tobytes() for i in new], pa.binary())], ["fp", "s"])
 
     own = owners.select("fp", F.col("doc_id").alias("_d"), F.col("th").alias("_th"))
-    rows = docs.join(own, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_th")))
-    return rows.select("fp", text_bytes().alias("t")).mapInArrow(run, "fp long, s binary").groupBy("fp").agg(F.first("s").alias("s"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = texts.join(own, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_th")))
+    return rows.select("fp", text_bytes().alias("t")).mapInArrow(run, "fp long, s binary")
+
+
+def alike(classes: DataFrame) -> DataFrame:
+    """(a, b): pairs that join up the classes (fp, sh) whose SimHash fingerprints lie within two bits."""
+    named = written(classes.groupBy("sh").agg(F.min("fp").alias("low")), "named")
+    same = classes.join(named, "sh").where("fp <> low").select(F.col("low").alias("a"), F.col("fp").alias("b"))
+    near = links(named.select(F.col("sh").alias("fp")))
+    one, two = named.toDF("a", "la"), named.toDF("b", "lb")
+    near = near.join(one, "a").join(two, "b").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
+    return same.unionByName(near)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, jaccard: float = JACCARD) -> DataFrame:
@@ -97,23 +125,29 @@ def verified(pairs: DataFrame, sets: DataFrame, jaccard: float = JACCARD) -> Dat
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     met = pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
-    return met.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return met.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
 
 
 def linked(docs: DataFrame, words: int = WORDS, jaccard: float = JACCARD) -> DataFrame:
     """(doc_id, th, label) for every row of ``docs``: rows of one label are near copies, directly or by others."""
     marked = written(signatures(docs, words), "signatures")
-    classes = marked.groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("o"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    dealt = written(classes.select("fp", "o.doc_id", "o.th", "n", F.explode_outer("keys").alias("key")), "dealt")
-    ends = dealt.where("key is not null").groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
-    met = written(dealt.select("key", "fp", "n", "doc_id", "th").join(ends, "key"), "met")
-    if met.isEmpty():
+    classes = marked.groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("o"), F.first("n").alias("n"), F.first("sh").alias("sh"), F.first("keys").alias("keys"))
+    classes = written(classes.where("n > 0").select("fp", "o.doc_id", "o.th", "n", "sh", "keys"), "classes")
+    dealt = classes.select("fp", "n", F.explode("keys").alias("key"))
+    # keys that two classes have: few, and a table, so that its size decides how it is joined
+    ends = written(dealt.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high"), "ends")
+    met = written(dealt.join(ends, "key"), "met")
+    twins = written(alike(classes.select("fp", "sh")), "twins")
+    if met.isEmpty() and twins.isEmpty():
         return marked.select("doc_id", "th", F.col("fp").alias("label"))
-    sets = written(shingle_sets(docs, met.select("fp", "doc_id", "th").distinct(), words), "sets")
-
     star = met.select("fp", F.explode(F.array("low", "high")).alias("end")).where("fp <> end").select(F.least("fp", "end").alias("a"), F.greatest("fp", "end").alias("b"))
-    edges = written(verified(star.distinct(), sets, jaccard), "links")
-    label = met.select("fp").distinct().withColumn("label", F.col("fp"))
+    star = written(star.unionByName(twins).distinct(), "star")
+    named = star.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    owners = written(classes.select("fp", "doc_id", "th").join(named, "fp"), "owners")
+    sets = written(shingle_sets(docs, owners, words), "sets")
+
+    edges = written(verified(star, sets, jaccard), "links")
+    label = owners.select("fp", F.col("fp").alias("label"))
     if not edges.isEmpty():
         named = components(edges)
         label = label.join(named.select(F.col("node").alias("fp"), F.col("label").alias("l")), "fp", "left").select("fp", F.coalesce("l", "label").alias("label"))

@@ -18,6 +18,7 @@ import hashlib
 import math
 import random
 import re
+from collections import deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -94,6 +95,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # --- the field
 
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\s]")
+_SPACE = re.compile(r"\s")
 _TRIGGER = re.compile(r"[0-9@]|[\[({<]\s?at\s?[\])}>]", re.I)
 _CUES = {
     0: re.compile(r"(mail|contact|write|reach|address)\W*$", re.I),
@@ -113,11 +115,18 @@ _EXACT = {0: re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), 1
 
 
 def islands(text: str, reach: int = 96) -> list[tuple[int, int]]:
-    """Stretches that hold every possible segment, widened to white space."""
+    """Stretches that hold every possible segment: what lies within ``reach`` of a trigger, widened to white space."""
     out: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
-        a, b = max(0, m.start() - reach), min(len(text), m.end() + reach)
-        if out and a <= out[-1][1]:
+        end = out[-1][1] if out else 0
+        if m.end() + reach <= end:
+            continue
+        a = max(end, m.start() - reach)
+        while a > end and not text[a - 1].isspace():
+            a -= 1
+        found = _SPACE.search(text, min(len(text), m.end() + reach))
+        b = found.start() if found else len(text)
+        if out and a <= end:
             out[-1][1] = b
         else:
             out.append([a, b])
@@ -167,19 +176,33 @@ def span_features(text: str, a: int, b: int, kind: int) -> list[int] | None:
     return [names[f"{k}:{f}"] for f in out]
 
 
-def candidates(text: str, start: int, stop: int) -> tuple[int, list[tuple[int, int, int, list[int], int, int]]]:
-    """Number of tokens, and (from, to, kind, features, first character, last) of every possible segment."""
-    tokens = [m.span() for m in _TOKEN.finditer(text, start, stop)]
-    out = []
-    for i, (a, first) in enumerate(tokens):
+def starts(text: str, start: int, stop: int):
+    """For each token in turn: how many it is, and the possible segments from it as (from, to, kind, features, first character, last).
+
+    Only the tokens that a segment can reach are held.
+    """
+    ahead: deque = deque()
+    more = (m.span() for m in _TOKEN.finditer(text, start, stop))
+    i = 0
+    while True:
+        while len(ahead) < LONGEST:
+            span = next(more, None)
+            if span is None:
+                break
+            ahead.append(span)
+        if not ahead:
+            return
+        a = ahead[0][0]
         digit, word = text[a].isdigit(), text[a].isalpha()
         kinds = [1, 2, 3] if digit else [3] if text[a] in "+(" else []
-        near = text[a : a + 90]
-        if (digit or word) and ("@" in near or " at" in near.lower() or "at]" in near.lower() or "at)" in near.lower()):
-            kinds = [0, *kinds]
+        kinds = [k for k in kinds if _LOOSE[k].match(text, a, stop)]
+        if digit or word:
+            near = text[a : a + 90].lower()
+            if ("@" in near or " at" in near or "at]" in near or "at)" in near) and _LOOSE[0].match(text, a, stop):
+                kinds = [0, *kinds]
+        out = []
         for kind in kinds:
-            for j in range(i + 1, min(len(tokens), i + LONGEST) + 1):
-                b = tokens[j - 1][1]
+            for j, (_, b) in enumerate(ahead, i + 1):
                 if kind and not (text[b - 1].isdigit() or text[b - 1] == ")"):
                     if text[b - 1].isalpha():
                         break
@@ -189,7 +212,18 @@ def candidates(text: str, start: int, stop: int) -> tuple[int, list[tuple[int, i
                 got = span_features(text, a, b, kind)
                 if got is not None:
                     out.append((i, j, kind, got, a, b))
-    return len(tokens), out
+        yield i, out
+        ahead.popleft()
+        i += 1
+
+
+def candidates(text: str, start: int, stop: int) -> tuple[int, list[tuple[int, int, int, list[int], int, int]]]:
+    """Number of tokens, and every possible segment, by its end; for training on short texts."""
+    n, out = 0, []
+    for i, own in starts(text, start, stop):
+        n = i + 1
+        out += own
+    return n, out
 
 
 class Field:
@@ -200,33 +234,34 @@ class Field:
         base = feature_names()[f"{KINDS[0]}>{KINDS[0]}"]
         self.pair = lambda a, b: base + len(KINDS) * a + b
 
-    def decode(self, n: int, segments: list) -> list[tuple[int, int, int]]:
-        """Chosen (first character, kind, last character)."""
-        if not segments:
-            return []
+    def decode(self, segments) -> list[tuple[int, int, int]]:
+        """Chosen (first character, kind, last character); ``segments`` come token by token, as from ``starts``.
+
+        Only the states that a segment can still reach are held: the best total by type of the last
+        segment (or none), and the chain of segments chosen on the way. Chains share their beginnings,
+        so memory grows with what is found, not with the text.
+        """
         w, outside = self.weights, len(KINDS)
-        ends: dict[int, list] = {}
-        for s in segments:
-            ends.setdefault(s[1], []).append((s, sum(w[f] for f in s[3])))
-        best = [[-math.inf] * (outside + 1) for _ in range(n + 1)]
-        back: list[list] = [[None] * (outside + 1) for _ in range(n + 1)]
-        best[0][outside] = 0.0
-        for j in range(1, n + 1):
-            top = max(range(outside + 1), key=lambda y: best[j - 1][y])
-            best[j][outside], back[j][outside] = best[j - 1][top], (j - 1, top, None)
-            for s, value in ends.get(j, ()):
+        nothing = [-math.inf] * (outside + 1)
+        ahead: dict[int, tuple[list, list]] = {}
+        best, chain = [*nothing[:-1], 0.0], [None] * (outside + 1)
+        for i, own in segments:
+            for s in own:
+                value = sum(w[f] for f in s[3])
+                totals, chains = ahead.setdefault(s[1], ([*nothing], [None] * (outside + 1)))
                 for y in range(outside + 1):
-                    if best[s[0]][y] > -math.inf:
-                        total = best[s[0]][y] + value + (w[self.pair(y, s[2])] if y < outside else 0.0)
-                        if total > best[j][s[2]]:
-                            best[j][s[2]], back[j][s[2]] = total, (s[0], y, s)
-        out, j = [], n
-        y = max(range(outside + 1), key=lambda k: (best[n][k], k))
-        while j > 0:
-            before, was, s = back[j][y]
-            if s:
-                out.append((s[4], s[2], s[5]))
-            j, y = before, was
+                    if best[y] > -math.inf:
+                        total = best[y] + value + (w[self.pair(y, s[2])] if y < outside else 0.0)
+                        if total > totals[s[2]]:
+                            totals[s[2]], chains[s[2]] = total, (chain[y], s[4], s[2], s[5])
+            top = max(range(outside + 1), key=best.__getitem__)
+            after, links = ahead.pop(i + 1, ([*nothing], [None] * (outside + 1)))
+            after[outside], links[outside] = best[top], chain[top]
+            best, chain = after, links
+        out, link = [], chain[max(range(outside + 1), key=lambda k: (best[k], k))]
+        while link:
+            link, a, kind, b = link
+            out.append((a, kind, b))
         return out[::-1]
 
     def gradient(self, n: int, segments: list, gold: set) -> dict[int, float]:
@@ -337,11 +372,16 @@ def train(count: int = SENTENCES, epochs: int = EPOCHS, rate: float = RATE, ridg
 
 def added_spans(field: Field, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """The field's spans that touch no base span."""
-    out = []
+    out, at = [], 0
+    reach, end = [], 0  # the furthest end of the base spans up to each
+    for _, _, e in base:
+        end = max(end, e)
+        reach.append(end)
     for start, stop in islands(text):
-        n, segments = candidates(text, start, stop)
-        for a, kind, b in field.decode(n, segments):
-            if all(b <= s or a >= e for s, _, e in base):
+        for a, kind, b in field.decode(starts(text, start, stop)):
+            while at < len(base) and base[at][0] < b:
+                at += 1
+            if at == 0 or reach[at - 1] <= a:
                 out.append((a, kind, b))
     return out
 
@@ -361,8 +401,9 @@ def spans_of(field: Field, text: str) -> tuple[list, list]:
 def find(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for every row of ``docs`` (doc_id, text).
 
-    The counts are of base spans. A null text counts as empty; rows that repeat come out as often;
-    further columns are ignored.
+    The counts are of base spans. A null text counts as empty; rows that repeat come out as often; a
+    null doc_id stays null; further columns are ignored; an empty table gives an empty result. A very
+    long text is decoded as it is read and costs little beyond itself and what is found in it.
     """
     arrow_batches(docs.sparkSession)
     weights = train()

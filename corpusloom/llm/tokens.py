@@ -4,7 +4,8 @@ Pre-tokens are counted, not shuffled: a first pass keeps a bounded summary of fr
 task, the summaries' sums name the most frequent, and the token lengths of those travel to every
 worker as one small table. A worker encodes what the table lacks with the library and keeps the
 lengths in a bounded cache of its own. The table and the caches only save time; every count is the
-library's.
+library's. Texts of Latin letters are cut into pre-tokens by a spelt-out pattern, all others by the
+library's own pre-tokenizer, whose Unicode tables decide; both meet the same two tiers.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ from corpusloom.llm.common import arrow_batches, resource_path
 FREQUENT = 32_768
 #: Words that one task's summary holds and reports, and the longest word in it.
 SUMMARY, REPORT, LONGEST = 65_536, 4_096, 32
-#: Entries of a worker's cache; it starts anew when full.
-CACHE = 300_000
-#: Above this code point texts go to the library whole, so its own Unicode tables decide.
+#: Entries of a worker's cache and their most characters (60 MB at most); it starts anew when full.
+CACHE, KEPT = 300_000, 64
+#: Texts with a code point above this are cut by the library's pre-tokenizer.
 PLAIN = 0x24F
 
 
@@ -63,23 +64,35 @@ class TokenCounter:
         self.specials = specials
         self.odd = re.compile(f"[^\\x00-\\u{PLAIN:04x}]")
         self.findall = re.compile(plain_pattern()).findall
+        self.cut = self.library.pre_tokenizer.pre_tokenize_str
         library = self.library
+        self.asked = self.encoded = 0
 
         class Lengths(dict):
-            def __missing__(self, token):
+            def __missing__(own, token):
                 n = len(library.encode(token, add_special_tokens=False).ids)
-                if len(self) > CACHE:
-                    self.clear()
-                    self.update(frequent or {})
-                self[token] = n
+                self.encoded += 1
+                if len(own) > CACHE:
+                    own.clear()
+                    own.update(frequent or {})
+                if len(token) <= KEPT:
+                    own[token] = n
                 return n
 
         self.lengths = Lengths(frequent or {})
 
+    def pieces(self, text: str) -> list[str]:
+        """The pre-tokens of a text without special strings."""
+        if self.odd.search(text):
+            return [text[a:b] for _, (a, b) in self.cut(text)]
+        return self.findall(text)
+
     def __call__(self, text: str) -> int:
-        if self.odd.search(text) or any(s in text for s in self.specials):
+        if any(s in text for s in self.specials):
             return len(self.library.encode(text, add_special_tokens=False).ids)
-        return sum(map(self.lengths.__getitem__, self.findall(text)))
+        pieces = self.pieces(text)
+        self.asked += len(pieces)
+        return sum(map(self.lengths.__getitem__, pieces))
 
 
 def frequent_words(docs: DataFrame, top: int = FREQUENT) -> list[str]:
@@ -104,8 +117,7 @@ def frequent_words(docs: DataFrame, top: int = FREQUENT) -> list[str]:
 def frequent_lengths(words: list[str], name: str) -> dict[str, int]:
     """Lengths of the pre-tokens of ``words``, at the start of a text or after a space."""
     count = TokenCounter(name)
-    tokens = {t for w in words for t in (*count.findall(w), *count.findall(f" {w}"))} if words else set()
-    tokens = {t for t in tokens if not count.odd.search(t)}
+    tokens = {t for w in words for t in (*count.pieces(w), *count.pieces(f" {w}")) if len(t) <= LONGEST + 1}
     return {sys.intern(t): count.lengths[t] for t in tokens}
 
 
@@ -113,7 +125,9 @@ def token_counts(docs: DataFrame, name: str = "byte_bpe_50k.json", limit: int =
     """(doc_id, n_bytes, n_tokens, over_limit) for every row of ``docs`` (doc_id, text).
 
     A null text counts as empty: 0 bytes, 0 tokens. Rows that repeat come out as often as they came,
-    a null doc_id stays null, further columns are ignored, an empty table gives an empty result.
+    a null doc_id stays null, further columns are ignored, an empty table gives an empty result. A
+    very long text costs its own length, and a long pre-token is not kept. A text that spells a
+    special token goes to the library whole, which is what decides there.
     """
     spark = docs.sparkSession
     arrow_batches(spark)

@@ -220,9 +220,10 @@ def test_long_repetitive_texts_take_linear_time(spark):
     text = "in the year 7 of our house there were many good people " * 2200
     docs = spark.createDataFrame([(1, text, "x", 1)], "doc_id long, text string, h string, pos int")
     bench = spark.createDataFrame([(1, "in the year 7 of our house there were many good people")], "item_id long, text string")
+    decontam.contaminated(docs.selectExpr("doc_id", "left(text, 5000) as text"), bench).count()  # compiles
     begin = time.perf_counter()
     assert decontam.contaminated(docs, bench).count() == 1
-    assert time.perf_counter() - begin < 15
+    assert time.perf_counter() - begin < 20  # the square of its words took minutes
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0 and decontam.contaminated(docs.limit(0), bench).count() == 0
 
 
@@ -308,6 +309,19 @@ def test_token_counts_are_the_librarys(spark, docs, rows):
     assert tokens.token_counts(empty(spark)).count() == 0
 
 
+def test_all_scripts_use_both_tiers():
+    arabic = "ذهب الولد إلى المدرسة ثم عاد إلى البيت "
+    curly = "“It’s the same thing,” she said — the very same thing… and €5. "
+    frequent = tokens.frequent_lengths((arabic + curly).split(), "byte_bpe_50k.json")
+    for text in (arabic * 50, curly * 50, (arabic + "عربي جديد ") * 20):
+        count = tokens.TokenCounter("byte_bpe_50k.json", frequent)
+        assert count(text) == len(count.library.encode(text, add_special_tokens=False).ids)
+        assert count.asked > 100 and count.encoded <= 6  # all but a few pre-tokens come from the tiers
+    count = tokens.TokenCounter("byte_bpe_50k.json")
+    count("x" * 5000 + " " + "y" * 9000)
+    assert max(map(len, count.lengths), default=0) <= tokens.KEPT
+
+
 # 6 -----------------------------------------------------------------------------------------------
 
 
@@ -388,7 +402,7 @@ def test_the_field_generalises_and_keeps_base_spans(spark, docs, rows):
     field = pii.Field(pii.train())
     right = wrong = missed = 0
     for text, gold in pii.sentences(150, seed=77):
-        found = {s for a, b in pii.islands(text) for s in field.decode(*pii.candidates(text, a, b))}
+        found = {s for a, b in pii.islands(text) for s in field.decode(pii.starts(text, a, b))}
         right, wrong, missed = right + len(found & set(gold)), wrong + len(found - set(gold)), missed + len(set(gold) - found)
     assert right / (right + wrong) > 0.9 and right / (right + missed) > 0.9
     got = pii.find(docs).collect()
@@ -396,6 +410,85 @@ def test_the_field_generalises_and_keeps_base_spans(spark, docs, rows):
     assert pii.mask(field, "mail x.y@a.example.com or 10.0.0.1 now") == "mail <EMAIL> or <IP> now"
 
 
+#: Written by hand; forms and words that the generator of the training sentences does not make.
+ODD_FORMS = [
+    ("Ring Maria tomorrow, phone 0171 496 0123 after six.", ["0171 496 0123"]),
+    ("You may call us at 555.867.5309 any time", ["555.867.5309"]),
+    ("fax: (020) 7946 0958, thanks", ["(020) 7946 0958"]),
+    ("write to j.smith [at] mail-server [dot] co [dot] uk please", ["j.smith [at] mail-server [dot] co [dot] uk"]),
+    ("contact anna(at)example(dot)org for keys", ["anna(at)example(dot)org"]),
+    ("the server 192.168[.]0[.]17 was down", ["192.168[.]0[.]17"]),
+    ("charged to visa 4111.1111.1111.1111 on Monday", ["4111.1111.1111.1111"]),
+    ("mobile 0049 151 234 5678 or mail me", ["0049 151 234 5678"]),
+    ("Born 1987-04-12, moved 2003-11-30.", []),
+    ("Version 3.14.15 costs 1,299.00 euros and weighs 12 kg", []),
+    ("Rooms 101 102 103 104 are on floor 1; pages 233-245", []),
+    ("ISBN 978-3-16-148410-0 was printed 5000 times", []),
+    ("He was at home at 10:30 and at work at 11:45.", []),
+    ("Order 2024-000123-77 shipped in 3 boxes of 48", []),
+]
+
+
+def test_the_field_on_forms_it_was_not_trained_on():
+    field, hit, made, due = pii.Field(pii.train()), 0, 0, 0
+    for text, want in ODD_FORMS:
+        added = {text[a:b] for a, _, b in pii.added_spans(field, text, pii.base_spans(text))}
+        hit, made, due = hit + len(added & set(want)), made + len(added), due + len(want)
+    print(f"precision {hit}/{made}, recall {hit}/{due}")
+    assert hit >= 0.8 * made and hit >= 0.6 * due
+
+
+def brute_decode(field, n, segments):
+    """The best segmentation by trying all."""
+    by: dict = {}
+    for s in segments:
+        by.setdefault(s[0], []).append(s)
+
+    def rest(i, last):
+        if i == n:
+            return 0.0, ()
+        out = [rest(i + 1, None)]
+        for s in by.get(i, ()):
+            value, chosen = rest(s[1], s[2])
+            out.append((value + sum(field.weights[f] for f in s[3]) + (field.weights[field.pair(last, s[2])] if last is not None else 0.0), ((s[4], s[2], s[5]), *chosen)))
+        return max(out)
+
+    return rest(0, None)[0]
+
+
+def test_decoding_finds_the_best_segmentation():
+    field, rng = pii.Field(pii.train()), random.Random(3)
+    for _ in range(60):
+        text = " ".join(rng.choice(["call", "12", "555", "1234", "x", "+4", "(20)", "10.0.0.1", "a@b.co", "4111"]) for _ in range(7))
+        n, segments = pii.candidates(text, 0, len(text))
+        found = field.decode(pii.starts(text, 0, len(text)))
+        by = {(s[4], s[2], s[5]): s for s in segments}
+        total, before = 0.0, None
+        for s in (by[x] for x in found):
+            total += sum(field.weights[f] for f in s[3])
+            total += field.weights[field.pair(before[2], s[2])] if before and before[1] == s[0] else 0.0
+            before = s
+        assert math.isclose(total, brute_decode(field, n, segments), abs_tol=1e-9), text
+
+
+def test_islands_end_at_white_space():
+    text = "w" * 300 + " " + "abc " * 60 + "7" + " abc" * 60 + " " + "v" * 300
+    (a, b), = pii.islands(text)
+    assert text[a - 1].isspace() and text[b].isspace() and text[a:b].strip("abc ") == "7"
+
+
+def test_a_megabyte_of_digits_takes_little_memory():
+    import tracemalloc
+
+    field, rng = pii.Field(pii.train()), random.Random(1)
+    text = " ".join(str(rng.randint(0, 99999)) for _ in range(30_000))
+    tracemalloc.start()
+    pii.spans_of(field, text)
+    one = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert one < 200 * len(text)  # 200 MB for a megabyte
+
+
 def test_masking_keeps_rows_and_columns(spark, docs, rows):
     got = pii.masked(docs)
     assert got.columns == docs.columns and got.count() == len(rows)
