@@ -136,8 +136,9 @@ def near_duplicates(docs: DataFrame, key: str, group: str, text: Column, thresho
     Exact and without all pairs: shingles are ordered by rarity, and two texts of that similarity must
     share one of the first size - ceil(threshold * size) + 1 shingles of each; those prefixes meet.
     Exact copies (equal shingle sets) are folded into one row first and expanded as (first, copy).
+    Shingles are compared by their 64-bit hashes.
     """
-    sets = docs.select(F.col(key).alias("k"), F.col(group).alias("g"), F.array_sort(T.shingles(text, n)).alias("s")).where("size(s) > 0")
+    sets = docs.select(F.col(key).alias("k"), F.col(group).alias("g"), F.array_sort(F.array_distinct(F.transform(T.shingles(text, n), lambda x: F.xxhash64(x)))).alias("s")).where("size(s) > 0")
     folded = sets.groupBy("g", F.xxhash64("s").alias("h"), "s").agg(F.min("k").alias("k"))
     copies = sets.join(folded.select("g", "s", F.col("k").alias("a")), ["g", "s"]).where("k <> a").select("a", F.col("k").alias("b"), F.lit(1.0).alias("similarity"))
     df = folded.select(F.explode_outer("s").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("df"))
@@ -151,3 +152,16 @@ def near_duplicates(docs: DataFrame, key: str, group: str, text: Column, thresho
     sa, sb = folded.select(F.col("k").alias("a"), F.col("s").alias("sa")), folded.select(F.col("k").alias("b"), F.col("s").alias("sb"))
     checked = pairs.join(sa, "a").join(sb, "b").select("a", "b", T.jaccard(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= threshold)
     return checked.unionByName(copies)
+
+
+def near_owner(pairs: DataFrame, first: str, second: str, first_is_canonical: Column) -> DataFrame:
+    """(duplicate, duplicate_of): of the pairs in order of (first, second) the earliest names a duplicate's owner; chains stay."""
+    named = pairs.select(F.when(first_is_canonical, F.col(second)).otherwise(F.col(first)).alias("duplicate"), F.when(first_is_canonical, F.col(first)).otherwise(F.col(second)).alias("owner"), F.struct(first, second).alias("at"))
+    return named.groupBy("duplicate").agg(F.min_by("owner", "at").alias("duplicate_of"))
+
+
+def with_parent(children: DataFrame, rows: DataFrame, group: list[str], parent: str, key: str, text: str) -> DataFrame:
+    """``children`` (group, key, parent) with ``parent_text``, the text of the row that ``parent`` names."""
+    above = rows.select(*[F.col(c).alias(f"_{c}") for c in group], F.col(key).alias("_key"), F.col(text).alias("parent_text"))
+    on = [children[c] == F.col(f"_{c}") for c in group] + [children[parent] == F.col("_key")]
+    return children.join(above, on, "left").select(*group, key, "parent_text")

@@ -30,7 +30,7 @@ def idf_table(postings: DataFrame, stats: DataFrame, epsilon: float = 0.25) -> D
 def bm25(queries: DataFrame, docs: DataFrame, key: str = "doc_id", qkey: str = "item_id", text: Column | None = None, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """(qkey, key, score) of every pair that shares a term; a term that a query repeats counts again.
 
-    Postings are cut to the queries' terms by a semi-join before they meet the queries.
+    Postings meet the queries' terms by an equi-join, of which the terms are by far the smaller side.
     """
     tokens = T.tokenize(F.col("text") if text is None else text)
     terms = queries.select(qkey, F.explode_outer(T.tokenize(F.col("text"))).alias("term")).groupBy(qkey, "term").agg(F.count(F.lit(1)).alias("qtf"))

@@ -29,7 +29,7 @@ def overlap_boost(score: Column, terms: Column, text: Column, weight: float = 0.
 
 
 def title_boost(score: Column, terms: Column, title: Column, body: Column, phrases: Column) -> Column:
-    """Coverage, similarity and the first phrase that the title or else the body holds."""
+    """The title's coverage of the terms, with a small and a large weight, and the first phrase that the title or else the body holds."""
     cover = coverage(terms, title)
     low_title, low_body = F.lower(title), F.lower(body)
     first = F.get(F.filter(phrases, lambda p: F.contains(low_title, p) | F.contains(low_body, p)), 0)
@@ -165,3 +165,27 @@ def additive_boost(score: Column, *parts: tuple[Column, float]) -> Column:
     for on, weight in parts:
         total = total + F.when(on, weight).otherwise(0.0)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))
+
+
+def exact_titles(queries: DataFrame, pages: DataFrame, score: float = 10_000.0) -> DataFrame:
+    """(query_id, page, score): for each query (query_id, query) the smallest page (page, title) whose title it is, whatever the case."""
+    key = lambda c: F.lower(F.trim(F.col(c)))
+    owners = pages.groupBy(key("title").alias("key")).agg(F.min("page").alias("page"))
+    return queries.select("query_id", key("query").alias("key")).join(owners, "key").select("query_id", "page", F.lit(score).alias("score"))
+
+
+def legacy_confidence(rank: str, score: str, overlap: str) -> Column:
+    """An aggregate: 0.55 of the mean of the first three scores and 0.45 of the largest overlap of the first five."""
+    return 0.55 * F.avg(F.when(F.col(rank) <= 3, F.col(score))) + 0.45 * F.max(F.when(F.col(rank) <= 5, F.col(overlap)))
+
+
+def citation_key(score: Column, phrase: Column, body: Column, title: Column, category: Column) -> list[Column]:
+    """Sort order of citations: score in steps of 0.02 (halves to even), phrase, body coverage, title likeness, a category."""
+    return [F.desc(F.bround(score / 0.02, 0)), F.desc(phrase), F.desc(body), F.desc(title), F.desc(category)]
+
+
+def citation_pool(rows: DataFrame, qkey: str, place: str, score: str, key: str, k: int, *order: Column) -> DataFrame:
+    """The best row of each place, then the best ``k`` of each query, with ``rank``."""
+    sort = [F.desc(score), *order, F.col(key)]
+    own = best_per(rows, [qkey, place], *sort)
+    return own.withColumn("rank", F.row_number().over(Window.partitionBy(qkey).orderBy(*sort))).where(F.col("rank") <= k)

@@ -123,3 +123,45 @@ def test_compression_drops_near_copies(spark):
     rows = [(1, "quick fox", 1, "a", "u1", "", text), (1, "quick fox", 2, "b", "u2", "", text + " ok"), (1, "quick fox", 3, "c", "u3", "", "something else about a quick answer to another question entirely")]
     got = P.compress(spark.createDataFrame(rows, "query_id int, query string, pos int, chunk_id string, url string, heading string, text string"))
     assert sorted(r.chunk_id for r in got.collect()) == ["a", "c"]
+
+
+def plain_compress(rows, budget, alike):
+    """The greedy context of one query (pos, chunk_id, url, heading, text) over texts that share a query word, in a plain loop."""
+    grams = lambda t: {tuple(w[i : i + 3]) for w in [t[:400].lower().split()] for i in range(max(1, len(w) - 2))}
+    out, used = {}, 0
+    for pos, chunk, url, heading, text in sorted(rows):
+        if len(text) < 20:
+            continue
+        own = grams(text)
+        if any(len(own & grams(t)) / len(own | grams(t)) >= alike for _, _, t in out.values()):
+            continue
+        place, cost = (url or chunk, heading[:40]), max(1, len(text) // 4)
+        if place in out:
+            old = out[place][2]
+            new = old if text in old else old + "\n" + text
+            more = max(1, len(new) // 4) - max(1, len(old) // 4)
+            if used + more <= budget:
+                out[place], used = (*out[place][:2], new), used + more
+        elif out and used + cost > budget:
+            break
+        else:
+            out[place], used = (pos, chunk, text), used + cost
+    return sorted(out.values())
+
+
+def test_compression_is_the_greedy_choice(spark):
+    rng = __import__("random").Random(6)
+    word = lambda: "w" + str(rng.randint(0, 30))
+    rows = []
+    for q in range(12):
+        texts: list[str] = []
+        for pos in range(10):
+            text = rng.choice(texts) + " tail" if texts and rng.random() < 0.25 else " ".join(["key", *[word() for _ in range(rng.randint(0, 40))]])
+            texts.append(text)
+            rows.append((q, "the key", pos, f"c{pos}", rng.choice(["", "u1", "u2", "u3"]), rng.choice(["", "h"]), text))
+    frame = spark.createDataFrame(rows, "query_id int, query string, pos int, chunk_id string, url string, heading string, text string")
+    got: dict = {}
+    for r in P.compress(frame, budget=120).collect():
+        got.setdefault(r.query_id, []).append((r.pos, r.chunk_id, r.text))
+    for q in range(12):
+        assert sorted(got[q]) == plain_compress([r[2:] for r in rows if r[0] == q], 120, 0.82)
