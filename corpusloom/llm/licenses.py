@@ -90,20 +90,20 @@ def vocabulary(files: DataFrame, known: DataFrame) -> DataFrame:
     return df.withColumn("n", n).select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.when(F.col("term") == "", 0).otherwise(F.col("df")))) + 1.0).alias("idf"))
 
 
-def anchors(vectors: list[tuple[int, str, dict[str, float]]], cosine: float) -> list[str]:
+def anchors(vectors: list[tuple[int, str, dict[str, float]]], idf: dict[str, float], cosine: float) -> list[str]:
     """Terms of which a text needs one to reach ``cosine`` with any template (number, license, weights).
 
     A text that shares only terms of total squared weight r with a unit vector has a cosine of sqrt(r)
-    at most; each template's heaviest terms are taken until less than cosine squared is left.
+    at most; of each template the most frequent terms are left out as long as they stay below that.
     """
     heavy: set[str] = set()
     for _, _, vector in vectors:
-        left = 1.0
-        for w, term in sorted(((w, t) for t, w in vector.items()), reverse=True):
-            if left < cosine * cosine * 0.999:
-                break
-            heavy.add(term)
-            left -= w * w
+        left = 0.0
+        for term in sorted(vector, key=lambda t: (idf[t], t)):
+            if left + vector[term] ** 2 < cosine * cosine * 0.999:
+                left += vector[term] ** 2
+            else:
+                heavy.add(term)
     return sorted(heavy)
 
 
@@ -191,7 +191,7 @@ def scorer(files: DataFrame, known: DataFrame, cosine: float, lines: int) -> Sco
         w = {t: n * idf[t] for t, n in Counter(r.ts).items()}
         norm = math.sqrt(sum(x * x for x in w.values()))
         vectors.append((r.template, r.license, {t: x / norm for t, x in w.items()}))
-    return Scorer(idf, rare, vectors, anchors(vectors, cosine), cosine, lines)
+    return Scorer(idf, rare, vectors, anchors(vectors, idf, cosine), cosine, lines)
 
 
 def own_licenses(files: DataFrame, known: DataFrame | None = None, cosine: float = COSINE, file_share: float = FILE_SHARE, lines: int = LINES) -> DataFrame:
