@@ -12,7 +12,7 @@ from corpusloom.operators import ranking as R
 from corpusloom.plans.registry import query, table
 
 BM25 = """tok as (select doc_id, lang, source, text, regexp_extract_all(lower(text), '[a-z]{2,}') as ts from documents),
-stats as (select count(*) as n, avg(len(ts)) as avgdl from tok),
+stats as (select count(*) as n, avg(coalesce(len(ts), 0)) as avgdl from tok),
 post as (select doc_id, dl, term, count(*) as tf from (select doc_id, len(ts) as dl, unnest(ts) as term from tok) group by all),
 df as (select term, count(*) as df from post group by term),
 raw as (select term, ln(n - df + 0.5) - ln(df + 0.5) as r from df, stats),
@@ -38,7 +38,7 @@ def bm25_top10(spark, sf_dir):
 def bm25_statistics(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     tokens = T.tokenize(F.col("text"))
-    idf = lexical.idf_table(lexical.term_counts(docs, "doc_id", tokens), lexical.corpus_stats(docs, tokens))
+    idf = lexical.idf_table(lexical.term_statistics(docs, tokens))
     return idf.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
