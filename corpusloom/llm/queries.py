@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import ann, decontam, licenses, lm, mixing, pii, simhash, tokens, toxicity, warc
+from corpusloom.llm import ann, decontam, dedup, licenses, lm, mixing, pii, simhash, tokens, toxicity, warc
 from corpusloom.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op12_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
@@ -119,6 +123,13 @@ select page_id, payload_bytes,
 from h join o using (h)
 """
 
+#: DuckDB: groups by the digest of the text without white space.
+OP12 = r"""
+with t as (select doc_id, length(coalesce(text, '')) as n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) as h, row_number() over () as i from documents)
+select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition by h) as group_size, row_number() over w = 1 as kept, h as text_sha256
+from t window w as (partition by h order by n desc, doc_id nulls last, i)
+"""
+
 
 def _templated(text: str) -> str:
     for _ in range(2):
@@ -200,4 +211,4 @@ from f left join lic using (doc_id) left join up on up.dir = f.dir
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": sql_op2(), "op3_template_decontamination": sql_op3(), "op1_vantage_point_search": OP1, "op6_source_mix": OP6, "op10_warc_round_trip": OP10}
+    return {"op2_license_scan": sql_op2(), "op3_template_decontamination": sql_op3(), "op1_vantage_point_search": OP1, "op6_source_mix": OP6, "op10_warc_round_trip": OP10, "op12_exact_duplicates": OP12}
