@@ -31,6 +31,7 @@ RUN_ROWS = 1 << 18
 MOST_BITS = 16
 
 ENTRY = "part int, home int, digest binary, second long, n long, doc_id long, row long, members long"
+ENTRY_NAMES = ["part", "home", "digest", "second", "n", "doc_id", "row", "members"]
 
 
 def bare(text: Column) -> Column:
@@ -63,7 +64,7 @@ def fold(batches):
     """The first of consecutive entries with the same partition, digest and second hash, with their members summed."""
     held = None
     for batch in batches:
-        rows = pa.Table.from_batches([batch])
+        rows = pa.table([batch.column(c) for c in ENTRY_NAMES], ENTRY_NAMES)  # without what is said on nulls
         if held is not None:
             rows = pa.concat_tables([held, rows])
         rows = rows.combine_chunks()
