@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import ann, decontam, dedup, licenses, lm, mixing, pii, simhash, tokens, toxicity, warc
+from corpusloom.llm import ann, decontam, dedup, licenses, lm, merkle, mixing, pii, simhash, tokens, toxicity, warc
 from corpusloom.llm.common import table
 
 
@@ -54,6 +54,11 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of documents, and of documents that lost their line feeds."""
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 def op12_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -123,6 +128,49 @@ select page_id, payload_bytes,
 from h join o using (h)
 """
 
+def sql_op11() -> str:
+    """Trees level by level; siblings by the ancestors' places; tampered leaves folded one level a step."""
+
+    # crc32 of the id's digits, bit by bit
+    crc = """list_reduce(list_prepend(4294967295::bigint, list_transform(list_filter(string_split(coalesce(doc_id::varchar, ''), ''), lambda x: x <> ''), lambda x: ascii(x)::bigint)),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda c, k: xor(c >> 1, (c & 1) * 3988292384)))"""
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(f"coalesce(octet_length(encode(({c})::varchar))::varchar || ':' || ({c})::varchar, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    def tree(name: str, key: str, base: str) -> str:
+        return f"""{name} as (select {key}, 0 as level, idx, h, n from {base} union all
+          select {key}, level + 1, idx // 3, sha256(string_agg(h, '' order by idx)), (max(n) + 2) // 3 from {name} where n > 1 group by {key}, level, idx // 3)"""
+
+    def siblings(of: str, in_: str, key: str) -> str:
+        return f"""select a.i, string_agg(t.h, '' order by t.level, t.idx) as s from {of} a join {in_} t on a.{key} is not distinct from t.{key}
+          and t.n > 1 and t.idx // 3 = a.idx // (3 ** (t.level + 1))::bigint and t.idx <> a.idx // (3 ** t.level)::bigint group by a.i"""
+
+    def fold(name: str, base: str, in_: str, key: str) -> str:
+        return f"""{name} as (select i, {key}, idx, 0 as level, h from {base} union all
+          select f.i, any_value(f.{key}), any_value(f.idx) // 3, any_value(f.level) + 1, sha256(string_agg(case when t.idx = f.idx then f.h else t.h end, '' order by t.idx))
+          from {name} f join {in_} t on f.{key} is not distinct from t.{key} and f.level = t.level and f.idx // 3 = t.idx // 3 and t.n > 1 group by f.i)"""
+
+    return f"""
+with recursive d as (select *, row_number() over () as i from documents),
+hashed as (select i, doc_id, source, {leaf("text")} as h, case when (4294967295 - {crc}) % 2 = 0 then {leaf("replace(text, chr(10), '')")} else {leaf("text")} end as tampered from d),
+leaves as (select *, row_number() over (partition by source order by doc_id nulls first, h) - 1 as idx, count(*) over (partition by source) as n from hashed),
+{tree("own", "source", "leaves")},
+subs as (select source, 0 as g, h, row_number() over (order by source nulls first) - 1 as idx, count(*) over () as n from own where n = 1),
+{tree("top", "g", "subs")},
+placed as (select l.i, subs.g, subs.idx, subs.h as subroot from leaves l join subs on l.source is not distinct from subs.source),
+below as ({siblings("leaves", "own", "source")}),
+above as ({siblings("placed", "top", "g")}),
+{fold("up", "(select i, source, idx, tampered as h from leaves)", "own", "source")},
+risen as (select u.i, placed.g, placed.idx, u.h from (select i, h from up qualify row_number() over (partition by i order by level desc) = 1) u join placed using (i)),
+{fold("over_", "risen", "top", "g")},
+ended as (select i, h from over_ qualify row_number() over (partition by i order by level desc) = 1),
+root as (select h from top where n = 1)
+select l.doc_id, l.h as leaf, p.subroot, root.h as root, sha256(coalesce(below.s, '') || coalesce(above.s, '')) as proof_sha256, ended.h as folded_root, ended.h = root.h as verified
+from leaves l join placed p using (i) join ended using (i) cross join root left join below using (i) left join above using (i)
+"""
+
+
 #: DuckDB: groups by the digest of the text without white space.
 OP12 = r"""
 with t as (select doc_id, length(coalesce(text, '')) as n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) as h, row_number() over () as i from documents)
@@ -211,4 +259,4 @@ from f left join lic using (doc_id) left join up on up.dir = f.dir
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": sql_op2(), "op3_template_decontamination": sql_op3(), "op1_vantage_point_search": OP1, "op6_source_mix": OP6, "op10_warc_round_trip": OP10, "op12_exact_duplicates": OP12}
+    return {"op2_license_scan": sql_op2(), "op3_template_decontamination": sql_op3(), "op1_vantage_point_search": OP1, "op6_source_mix": OP6, "op10_warc_round_trip": OP10, "op11_merkle_manifest": sql_op11(), "op12_exact_duplicates": OP12}
