@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import ann, decontam, dedup, licenses, lm, merkle, mixing, pii, simhash, tokens, toxicity, warc
+from corpusloom.llm import ann, collocations, decontam, dedup, licenses, lm, merkle, mixing, pii, simhash, tokens, toxicity, warc
 from corpusloom.llm.common import table
 
 
@@ -63,6 +63,10 @@ def op12_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
@@ -178,6 +182,23 @@ select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition b
 from t window w as (partition by h order by n desc, doc_id nulls last, i)
 """
 
+#: DuckDB: every phrase counted, then the same thresholds and cuts.
+OP13 = r"""
+with t as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+p as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from t),
+g as (select lang, w, i, unnest(range(1, least(5, len(w) - i + 1) + 1)) as k from (select lang, w, unnest(range(1, len(w) + 1)) as i from p)),
+f as (select lang, array_to_string(w[i:i + k - 1], ' ') as phrase, k, count(*) as f from g group by all),
+n as (select lang, sum(f)::bigint as n from f where k = 1 group by lang),
+c as (select *, string_split(phrase, ' ') as w from f where k > 1 and f >= 100),
+s as (select lang, phrase, max(f) as above from (select lang, array_to_string(w[i:i + m - 1], ' ') as phrase, f from (select *, unnest(range(1, k - m + 2)) as i from (select *, unnest(range(2, k)) as m from c))) group by all),
+cut as (select c.lang, c.phrase, c.f as a, j, array_to_string(w[1:j], ' ') as one, array_to_string(w[j + 1:], ' ') as two from (select *, unnest(range(1, k)) as j from c) c left join s using (lang, phrase) where above is null or above < c.f),
+sc as (select cut.lang, cut.phrase, a, j, x.f as l, y.f as r, n, ((1000::hugeint * a * n) // (x.f::hugeint * y.f))::bigint as score from cut
+  join f x on x.lang = cut.lang and x.phrase = one join f y on y.lang = cut.lang and y.phrase = two join n on n.lang = cut.lang),
+best as (select * from sc qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from best)
+select lang, rank, phrase, a, l, r, n, score from ranked where rank <= 2000
+"""
+
 
 def _templated(text: str) -> str:
     for _ in range(2):
@@ -259,4 +280,4 @@ from f left join lic using (doc_id) left join up on up.dir = f.dir
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": sql_op2(), "op3_template_decontamination": sql_op3(), "op1_vantage_point_search": OP1, "op6_source_mix": OP6, "op10_warc_round_trip": OP10, "op11_merkle_manifest": sql_op11(), "op12_exact_duplicates": OP12}
+    return {"op2_license_scan": sql_op2(), "op3_template_decontamination": sql_op3(), "op1_vantage_point_search": OP1, "op6_source_mix": OP6, "op10_warc_round_trip": OP10, "op11_merkle_manifest": sql_op11(), "op12_exact_duplicates": OP12, "op13_collocations": OP13}
