@@ -18,6 +18,7 @@ from __future__ import annotations
 import itertools
 import operator
 import uuid
+import zlib
 
 import ahocorasick
 import numpy as np
@@ -36,6 +37,8 @@ SHARD = 200_000
 BYTES_A_COUNTER, FEWEST, MOST = 64, 1 << 16, 1 << 28
 #: Counters of a block, the unit in which sketches are summed.
 BLOCK = 1 << 16
+#: Counts of a shard that tasks send in one row.
+STRETCH = 1 << 12
 #: Slots that a task gathers before it sums them.
 FLUSH = 1 << 22
 #: Bytes of text that are hashed at once.
@@ -238,33 +241,74 @@ def spark_broadcast(df: DataFrame, value):
 
 
 def candidates(texts: DataFrame, pairs: Bits, longer: Bits, longest: int) -> DataFrame:
-    """(lang, phrase, total): the phrases whose upper bounds reach the threshold, once a task at least; rows without a phrase have a task's number of words."""
+    """(lang, phrase, total): the phrases whose upper bounds reach the threshold, each once; rows without a phrase have a task's number of words.
+
+    A task names each phrase that it meets once, and nearly all tasks meet the frequent ones, so names
+    travel in packs of a bucket and are only told apart where the buckets meet.
+    """
     first, second = spark_broadcast(texts, pairs), spark_broadcast(texts, longer)
+    buckets = max(8, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def packs(lang, phrases):
+        by: dict[int, list[bytes]] = {}
+        for p in phrases:
+            by.setdefault(zlib.crc32(p) % buckets, []).append(p)
+        yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.int32()), pa.array([lang] * len(by), pa.string()), pa.array([EDGE.join(x) for x in by.values()], pa.binary()), pa.nulls(len(by), pa.int64())], ["bucket", "lang", "pack", "total"])
 
     def run(batches):
         seen: dict[str, set] = {}
+        found: dict[str, list[bytes]] = {}
         totals: dict[str, int] = {}
         for batch in batches:
             for lang, text in _langs(batch).items():
                 words = Words(text, _salt(lang))
                 totals[lang] = totals.get(lang, 0) + len(words.hash)
-                phrases, old = [], seen.setdefault(lang, set())
+                phrases, old = found.setdefault(lang, []), seen.setdefault(lang, set())
                 for n, at, hashes in words.grams(longest, first.value.passes):
                     keep = np.flatnonzero((first if n == 2 else second).value.passes(hashes))
                     new, where = np.unique(hashes[keep], return_index=True)
                     fresh = np.array([k for k, h in enumerate(new.tolist()) if h not in old], np.int64)
                     begin = at[keep[where[fresh]]]
-                    phrases += [b" ".join(text[i:j].split()).decode() for i, j in zip(words.begin[begin].tolist(), words.end[begin + n - 1].tolist())]
+                    phrases += [b" ".join(text[i:j].split()) for i, j in zip(words.begin[begin].tolist(), words.end[begin + n - 1].tolist())]
                     old.update(new[fresh].tolist())
                 if len(old) > 1 << 20:  # what is forgotten is only named again
                     old.clear()
-                for k in range(0, len(phrases), 1 << 16):
-                    part = phrases[k : k + (1 << 16)]
-                    yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(part), pa.string()), "phrase": pa.array(part, pa.string()), "total": pa.nulls(len(part), pa.int64())})
+                if len(phrases) > 1 << 18:
+                    yield from packs(lang, found.pop(lang))
+        for lang, phrases in found.items():
+            yield from packs(lang, phrases)
         if totals:
-            yield pa.RecordBatch.from_pydict({"lang": pa.array(list(totals), pa.string()), "phrase": pa.nulls(len(totals), pa.string()), "total": pa.array(list(totals.values()), pa.int64())})
+            yield pa.RecordBatch.from_arrays([pa.array([k % buckets for k in range(len(totals))], pa.int32()), pa.array(list(totals), pa.string()), pa.nulls(len(totals), pa.binary()), pa.array(list(totals.values()), pa.int64())], ["bucket", "lang", "pack", "total"])
+
+    def told_apart(batches):
+        at, names = None, set()
+
+        def out():
+            lang, every = at[1], list(names)
+            for k in range(0, len(every), 1 << 16):
+                part = [p.decode() for p in every[k : k + (1 << 16)]]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part, pa.string()), pa.nulls(len(part), pa.int64())], ["lang", "phrase", "total"])
+
+        for batch in batches:
+            for bucket, lang, pack, total in zip(*(batch.column(c).to_pylist() for c in ("bucket", "lang", "pack", "total"))):
+                if pack is None:
+                    yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.nulls(1, pa.string()), pa.array([total], pa.int64())], ["lang", "phrase", "total"])
+                    continue
+                if (bucket, lang) != at:
+                    if names:
+                        yield from out()
+                    at, names = (bucket, lang), set()
+                names.update(pack.split(EDGE))
+        if names:
+            yield from out()
+
+    packed = texts.mapInArrow(run, "bucket int, lang string, pack binary, total long")
+    return packed.repartition("bucket").sortWithinPartitions("bucket", "lang").mapInArrow(told_apart, "lang string, phrase string, total long")
 
-    return texts.mapInArrow(run, "lang string, phrase string, total long")
+
+def words_of(phrases: list[str]) -> list[bytes]:
+    """The distinct words of phrases, in order."""
+    return sorted(set(itertools.chain.from_iterable(p.encode().split(b" ") for p in phrases)))
 
 
 class Matcher:
@@ -274,7 +318,7 @@ class Matcher:
 
     def __init__(self, phrases: list[str]):
         split = [p.encode().split(b" ") for p in phrases]
-        self.words = sorted(set(itertools.chain.from_iterable(split)))
+        self.words = words_of(phrases)
         # from 1 on, around the surrogates
         points = [k + 1 if k + 1 < 0xD800 else k + 1 + 0x800 for k in range(len(self.words))]
         self.points = np.array(points, np.uint32)
@@ -303,7 +347,11 @@ _BUILT: dict[str, dict[str, Matcher]] = {}
 
 
 def shard_counts(texts: DataFrame, phrases: list, name: str) -> DataFrame:
-    """(lang, id, word, n): per task, the matches of the shard's ``phrases`` (lang, phrase, id) and the occurrences of their words."""
+    """(lang, id, word, n): the matches of the shard's ``phrases`` (lang, phrase, id) and the occurrences of their words.
+
+    A task's counts travel as stretches of numbers, phrases first, then words in order, and are added
+    up where the stretches meet.
+    """
     by: dict[str, tuple[list, list]] = {}
     for r in phrases:
         texts_, ids = by.setdefault(r.lang, ([], []))
@@ -333,14 +381,39 @@ def shard_counts(texts: DataFrame, phrases: list, name: str) -> DataFrame:
                     built[lang].add(text[at:end])
                     at = end
         for lang in used:
-            m = built[lang]
-            at, word = np.flatnonzero(m.phrase_counts), np.flatnonzero(m.word_counts)
-            ids = np.array(sent.value[lang][1], np.int64)[at]
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * (len(at) + len(word)), pa.string()), "id": pa.concat_arrays([pa.array(ids), pa.nulls(len(word), pa.int64())]), "word": pa.array([None] * len(at) + [m.words[k].decode() for k in word], pa.string()), "n": pa.array(np.concatenate([m.phrase_counts[at], m.word_counts[word]]))})
+            counts = np.concatenate([built[lang].phrase_counts, built[lang].word_counts])
+            parts = [(k, counts[k : k + STRETCH].tobytes()) for k in range(0, len(counts), STRETCH)]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(parts), pa.string()), pa.array([k for k, _ in parts], pa.int64()), pa.array([x for _, x in parts], pa.binary())], ["lang", "first", "counts"])
+
+    def added(batches):
+        at, total, words = None, None, {}
+
+        def out():
+            lang, first = at
+            own, ids = sent.value[lang]
+            if lang not in words:
+                words[lang] = words_of(own)
+            places = np.flatnonzero(total) + first
+            n = total[places - first]
+            split = int(np.searchsorted(places, len(ids)))
+            id_ = pa.concat_arrays([pa.array(np.array(ids, np.int64)[places[:split]]), pa.nulls(len(places) - split, pa.int64())])
+            word = pa.array([None] * split + [words[lang][k - len(ids)].decode() for k in places[split:].tolist()], pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(places), pa.string()), id_, word, pa.array(n)], ["lang", "id", "word", "n"])
+
+        for batch in batches:
+            for lang, first, counts in zip(*(batch.column(c).to_pylist() for c in ("lang", "first", "counts"))):
+                if (lang, first) != at:
+                    if at:
+                        yield from out()
+                    at, total = (lang, first), 0
+                total = total + np.frombuffer(counts, np.int64)
+        if at:
+            yield from out()
 
     langs = list(by)
     own = texts.where(F.col("lang").isin(langs)) if len(langs) <= 64 else texts
-    return own.mapInArrow(run, "lang string, id long, word string, n long")
+    parts = own.mapInArrow(run, "lang string, first long, counts binary")
+    return parts.repartition("lang", "first").sortWithinPartitions("lang", "first").mapInArrow(added, "lang string, id long, word string, n long")
 
 
 def counted(texts: DataFrame, named: DataFrame, shard: int = SHARD) -> DataFrame:
@@ -358,8 +431,7 @@ def counted(texts: DataFrame, named: DataFrame, shard: int = SHARD) -> DataFrame
     found = None
     for low in range(0, size, shard):
         phrases = numbered.where((F.col("id") >= low) & (F.col("id") < low + shard)).collect()  # a shard at most
-        part = shard_counts(texts, phrases, uuid.uuid4().hex).groupBy("lang", "id", "word").agg(F.sum("n").alias("n"))
-        part = written(part, "counts")
+        part = written(shard_counts(texts, phrases, uuid.uuid4().hex), "counts")
         found = part if found is None else found.unionByName(part)
     exact = numbered.join(found.where("id is not null").select("id", "n"), "id").select("lang", "phrase", "n")
     # a word of several shards was counted in each, always whole
@@ -387,7 +459,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     longer = sketch(texts, width, least, longest, pairs)
     named = written(candidates(texts, pairs, longer, longest), "named")
     totals = named.where("phrase is null").groupBy("lang").agg(F.sum("total").alias("n"))
-    found = counted(texts, named.where("phrase is not null").select("lang", "phrase").distinct(), shard)
+    found = counted(texts, named.where("phrase is not null").select("lang", "phrase"), shard)
     found = written(found.withColumn("w", F.split("phrase", " ")).where((F.size("w") == 1) | (F.col("n") >= least)), "found")
 
     phrases = found.where(F.size("w") > 1).select("lang", "phrase", "w", F.col("n").alias("a"))
