@@ -103,7 +103,7 @@ def table_truncated(rows: Column) -> Column:
 def admitted_lines(text: Column, furniture: str) -> Column:
     """Trimmed lines of two characters or more that are neither furniture nor one block of base64."""
     keep = lambda x: (F.length(x) >= 2) & ~matches(x, furniture) & ~x.rlike(r"^[A-Za-z0-9+/=]{60,}$")
-    return F.array_join(F.filter(F.transform(F.split(text, "\n"), F.trim), keep), "\n")
+    return F.array_join(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), keep), "\n")
 
 
 def kept_blocks(blocks: Column, skip: list[str], furniture: Column, shortest_link: int = 28) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType
 # Arabic ranges and letter variants, markers of page furniture, function words.
 AR_DIACRITICS = "[ؐ-ًؚ-ٰٟۖ-ۭ]"
 AR_VARIANTS = ("أإآٱىة", "اااايه")
-COMPATIBILITY = "[" + chr(0xA0) + chr(0x2000) + "-" + chr(0x206F) + chr(0x3000) + chr(0xFB50) + "-" + chr(0xFEFF) + chr(0xFF00) + "-" + chr(0xFFEF) + "]"
+PLAIN = "^[\u0000-\u009F\u0621-\u0674\u06D6-\u06EF]*$"
 TATWEEL = "ـ"
 AR_PREFIXES = ("وبال", "فبال", "وال", "بال", "كال", "فال", "لل", "ال")
 AR_SUFFIXES = ("اتها", "اتهم", "اتكم", "اتنا", "اتك", "ها", "هم", "هما", "كم", "كن", "نا", "ات", "ين", "ون", "ه")
@@ -24,10 +24,11 @@ FOOTERS = ("all rights reserved", "follow us")
 CHROME = ("Consumer Protection", "Retail Segments", "Main Menu")
 NAV_LINE = r"(?i)^(Welcome|Logout|Main Menu|Notifications|Favorite List|Follow Up|Consumer Protection)([^a-z0-9_]|$)"
 WIDGET_LINE = r"(?i)(swiper|cookie|subscribe|newsletter|chatbot|whatsapp widget|share this|print this)"
-PIPE_MENU = r"([ \t]*\|[ \t]*[^\n|]{2,40}){4,}"
+#: Four or more entries of up to forty characters after pipes; written so that no position is tried twice.
+PIPE_MENU = r"(?:\|(?=[^\n|]{2})[ \t]*+[^\n|]{0,40}?[ \t]*+(?=\|)){3}\|[^\n|]{2}"
 BASE64 = r"(data:image/[a-zA-Z0-9.+-]+;base64,)?[A-Za-z0-9+/]{100,}={0,2}"
 
-NBSP = chr(0xA0)
+NBSP = "\u00a0"
 SPACE = r"[ \t\n\x0B\f\r]+"
 
 
@@ -52,11 +53,11 @@ def nfkc(text: pd.Series) -> pd.Series:
 def normalize_arabic(text: Column, compatibility: bool = False) -> Column:
     """Letters unified, diacritics and tatweel dropped, white space squashed.
 
-    With ``compatibility``, presentation forms and other compatibility characters are folded first;
-    plain rows skip the Python stage's cost by staying as they are.
+    With ``compatibility``, presentation forms and other compatibility characters are folded first,
+    whatever they are; rows of ASCII and Arabic letters only, which that never changes, stay as they are.
     """
     if compatibility:
-        text = F.when(text.rlike(COMPATIBILITY), nfkc(text)).otherwise(text)
+        text = F.when(text.rlike(PLAIN), text).otherwise(nfkc(text))
     text = F.regexp_replace(text, AR_DIACRITICS, "")
     text = F.translate(text, AR_VARIANTS[0] + TATWEEL, AR_VARIANTS[1])
     return squash(text)
@@ -136,28 +137,36 @@ def bigram_phrases(tokens: Column) -> Column:
 
 def strip_html(text: Column) -> Column:
     """Scripts, styles and tags out, entities as spaces; only where both angle brackets occur."""
-    bare = F.regexp_replace(text, r"(?is)<(script|style|noscript|iframe|svg)[^>]*>.*?</(script|style|noscript|iframe|svg)>", " ")
-    bare = F.regexp_replace(bare, r"(?s)<!--.*?-->", " ")
-    bare = F.regexp_replace(bare, r"<[^>]+>", "\n")
-    text = F.when(text.contains("<") & text.contains(">"), bare).otherwise(text)
-    return F.regexp_replace(text, r"(?i)&(nbsp|amp|lt|gt|quot|#[0-9]+);", " ")
+
+    def bare(t: Column) -> Column:
+        out = F.regexp_replace(t, r"(?is)<(script|style|noscript|iframe|svg)[^>]*>.*?</(script|style|noscript|iframe|svg)>", " ")
+        out = F.regexp_replace(out, r"(?s)<!--.*?-->", " ")
+        return F.when(t.contains("<") & t.contains(">"), F.regexp_replace(out, r"<[^>]+>", "\n")).otherwise(t)
+
+    return F.regexp_replace(let(text, bare), r"(?i)&(nbsp|amp|lt|gt|quot|#[0-9]+);", " ")
 
 
 def strip_chrome(text: Column, markers: Sequence[str] = CHROME) -> Column:
     """What follows the first marker of the list that lies in the first 70 % of the text."""
-    out = text
-    for m in reversed(markers):
-        at = F.instr(text, m) - 1
-        out = F.when((at >= 0) & (at < F.length(text) * 0.7), F.regexp_replace(F.substring(text, at + 1 + len(m), F.length(text)), r"^[ |\-]+|[ |\-]+$", "")).otherwise(out)
-    return out
+
+    def after(t: Column) -> Column:
+        out = t
+        for m in reversed(markers):
+            at = F.instr(t, m) - 1
+            out = F.when((at >= 0) & (at < F.length(t) * 0.7), F.regexp_replace(F.substring(t, at + 1 + len(m), F.length(t)), r"^[ |\-]+|[ |\-]+$", "")).otherwise(out)
+        return out
+
+    return let(text, after)
 
 
 def cut_footer(text: Column, markers: Sequence[str] = FOOTERS) -> Column:
     """Ends at the earliest first occurrence of a marker that lies beyond 55 % of the text."""
-    limit = F.floor(F.length(text) * 0.55)
-    ats = [F.instr(F.lower(text), m) - 1 for m in markers]
-    cut = F.least(F.length(text), *[F.when(a > limit, a) for a in ats])
-    return F.rtrim(F.substring(text, F.lit(1), cut))
+
+    def cut(t: Column, low: Column) -> Column:
+        ats = [F.instr(low, m) - 1 for m in markers]
+        return F.rtrim(F.substring(t, F.lit(1), F.least(F.length(t), *[F.when(a > F.floor(F.length(t) * 0.55), a) for a in ats])))
+
+    return let(text, lambda t: let(F.lower(t), lambda low: cut(t, low)))
 
 
 def drop_placeholders(text: Column) -> Column:
@@ -168,9 +177,7 @@ def filter_lines(text: Column) -> Column:
     """Lines stripped; menus, widgets and repeats of the line kept before go; blank runs shrink to one."""
     lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
     lines = F.filter(lines, lambda x: ~(x.rlike(NAV_LINE) | x.rlike(WIDGET_LINE) | x.rlike(PIPE_MENU)))
-    empty = F.array().cast("array<string>")
-    kept = F.aggregate(lines, empty, lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1) == x), acc).otherwise(F.concat(acc, F.array(x))))
-    return F.array_join(kept, "\n")
+    return F.array_join(let(lines, lambda ls: F.filter(ls, lambda x, i: (i == 0) | (x != F.get(ls, i - 1)))), "\n")
 
 
 def clean_document(text: Column, lang: Column | None = None, keep_newlines: bool = False) -> Column:
@@ -179,7 +186,7 @@ def clean_document(text: Column, lang: Column | None = None, keep_newlines: bool
     text = filter_lines(cut_footer(text))
     if keep_newlines:
         return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t]{2,}", " "), r"\n{3,}", "\n\n"))
-    return squash(text) if lang is None else normalize(text, lang)
+    return squash(text) if lang is None else let(text, lambda t: normalize(t, lang))
 
 
 def strip_base64(text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import html
 from corpusloom.functions import text as T
 from corpusloom.functions import url as U
 from corpusloom.operators import corpus as C
@@ -138,9 +139,19 @@ def src_sitemap(spark, sf_dir):
     return found.select(F.replace("u", F.lit("&amp;"), F.lit("&")).alias("url")).where("url is not null").distinct()
 
 
-@query()
+@query(r"""with x as (select page_id, url, regexp_replace(html, '(?is)<!--.*?-->|<!doctype[^>]*>|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<nav[^>]*>.*?</nav>|<footer[^>]*>.*?</footer>|<header[^>]*>.*?</header>|<aside[^>]*>.*?</aside>', '', 'g') as h from pages),
+t as (select *, trim(regexp_replace(replace(replace(regexp_extract(h, '(?is)<title[^>]*>(.*?)</title>', 1), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) as own, unnest(regexp_split_to_array(h, '<[^>]*>')) as node, generate_subscripts(regexp_split_to_array(h, '<[^>]*>'), 1) as i from x),
+l as (select page_id, i, unnest(regexp_split_to_array(node, '\r\n|[\n\r\x0B\f]')) as line, generate_subscripts(regexp_split_to_array(node, '\r\n|[\n\r\x0B\f]'), 1) as j from t),
+c as (select page_id, i, j, trim(regexp_replace(replace(replace(replace(replace(replace(line, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), chr(160), ' '), '[ \t]+', ' ', 'g')) as line from l),
+k as (select * from c where length(line) >= 2 and not regexp_matches(line, '(?i)subscribe|cookie|share this') and not regexp_matches(replace(line, ' ', ''), '^[A-Za-z0-9+/=]{100,}$')),
+d as (select * from k qualify row_number() over (partition by page_id, lower(line) order by i, j) = 1),
+o as (select page_id, string_agg(line, chr(10) order by i, j) as content from d group by page_id)
+select page_id, case when own <> '' then own else url end as title, coalesce(content, '') as content from (select distinct page_id, url, own from t) left join o using (page_id)""")
 def src_visible_content(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", P.visible_text(F.col("html")).alias("content"))
+    """What a reader sees of each page, and its title."""
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", html.visible(html.pieces(F.col("html"))).alias("kept"))
+    furniture = "(?i)subscribe|cookie|share this"
+    return rows.select("page_id", html.title(F.col("kept"), F.col("url"), furniture).alias("title"), F.array_join(html.lines(F.col("kept"), furniture), "\n").alias("content"))
 
 
 @query("""with e as (select conv_id, turn, trim(text) as q from conversations where role = 'user') select conv_id, turn, left(sha256(q), 16) as query_hash, length(q)::bigint as n from e""")

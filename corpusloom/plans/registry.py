@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from corpusloom.plans import corpus, generic, retrieval, texts, understanding  # noqa: F401
+    from corpusloom.plans import corpus, generic, ingest, retrieval, texts, understanding  # noqa: F401
 
 
 def queries() -> dict:

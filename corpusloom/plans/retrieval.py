@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import dense, lexical
+from corpusloom.operators import dense, inverted, lexical, sparse, vectors
 from corpusloom.operators import procedural as P
 from corpusloom.operators import ranking as R
 from corpusloom.plans.registry import query, table
+from corpusloom.sources.storage import fresh_path, shared_dir, stored, written
 
 BM25 = """tok as (select doc_id, lang, source, text, regexp_extract_all(lower(text), '[a-z]{2,}') as ts from documents),
 stats as (select count(*) as n, avg(coalesce(len(ts), 0)) as avgdl from tok),
@@ -22,13 +23,29 @@ score as (select item_id, doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 +
 ranked as (select item_id, doc_id, score, row_number() over (partition by item_id order by round(score, 6) desc, doc_id) as rank from score where score > 0)"""
 
 
+def searched(spark, sf_dir):
+    """The benchmark's items as queries over the stored index of all documents."""
+    return inverted.search(documents_index(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def ranked(spark, sf_dir, k):
-    """The benchmark's items as queries over all documents."""
-    items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    scored = lexical.bm25(items, docs).withColumn("r6", F.round("score", 6))
+    scored = searched(spark, sf_dir).withColumn("r6", F.round("score", 6))
     return lexical.top_k(scored, "item_id", "doc_id", k, "r6").drop("r6")
 
 
+@query("""with tok as (select doc_id, regexp_extract_all(lower(text), '[a-z]{2,}') as ts from documents), post as (select doc_id, term, count(*) as tf from (select doc_id, unnest(ts) as term from tok) group by all),
+s as (select count(*) as docs, sum(len(coalesce(ts, [])))::bigint as tokens from tok)
+select term, count(*) as df, sum(tf)::bigint as cf, max(tf) as most, docs, tokens from post, s group by term, docs, tokens""")
+def snk_bm25_index(spark, sf_dir):
+    """A new index of documents, written, found again by its row and read as a whole."""
+    docs = table(spark, sf_dir, "documents")
+    root = fresh_path(spark, "indexes")
+    inverted.build(docs, root, "documents")
+    index = inverted.load(spark, root, "documents", inverted.corpus_version(docs, "doc_id", "text"))
+    most = index.postings().groupBy("term").agg(F.max("tf").cast("long").alias("most"), F.count(F.lit(1)).alias("df"))
+    return most.join(index.term_table(), ["term", "df"]).select("term", "df", "cf", "most", F.lit(index.docs).cast("long").alias("docs"), F.lit(index.tokens).cast("long").alias("tokens"))
+
+
 @query(f"with {BM25} select item_id, doc_id, round(score, 6) as score, rank from ranked where rank <= 10")
 def bm25_top10(spark, sf_dir):
     return ranked(spark, sf_dir, 10).select("item_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
@@ -49,7 +66,7 @@ KNN = f"knn as (select a.vec_id as query_id, b.vec_id, b.label, greatest(0, {DOT
 def neighbours(spark, sf_dir, k):
     """Queries are the rows whose id 100 divides, a stated set of a hundredth."""
     e = table(spark, sf_dir, "embeddings")
-    return dense.nearest(e.where("vec_id % 100 = 0"), e, k)
+    return vectors.nearest(e.where("vec_id % 100 = 0"), e, k)
 
 
 @query(f"with {KNN} select query_id, vec_id, round(score, 6) as score, rank from (select *, row_number() over (partition by query_id order by round(score, 6) desc, vec_id) as rank from knn) where rank <= 10")
@@ -62,42 +79,91 @@ r as (select *, row_number() over w as rank, lead(score) over w as nxt from b wi
 select query_id, label, round(score, 6) as score, round(score - coalesce(nxt, 0), 6) as margin, score >= 0.3 and score - coalesce(nxt, 0) >= 0.02 as accepted from r where rank = 1""")
 def cls_nearest_label(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
-    met = e.join(F.broadcast(q), F.col("query_id") != F.col("vec_id")).select("query_id", "label", F.greatest(F.lit(0.0), dense.cosine(F.col("embedding"), F.col("qv"))).alias("score")).where("score > 0.05")
+    met = vectors.nearest_labels(e.where("vec_id % 100 = 0"), e, places=12).where("score > 0.05")
     out = dense.nearest_label(met, least=0.3, margin=0.02)
     return out.select("query_id", "label", F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"), "accepted")
 
 
-@query("""select vec_id, round(case when vec_id % 3 = 0 then 0.7 * d + 0.3 * least(1, s) when vec_id % 3 = 1 then 0.7 * d + 0.3 * least(1, h / 5) else d end, 6) as score
- from (select vec_id, embedding[1]::double as d, embedding[2]::double * 3 as s, (vec_id % 8)::double as h from embeddings)""")
-def rnk_hybrid_score(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
-    sparse = F.when(F.col("vec_id") % 3 == 0, F.col("v")[1] * 3)
-    hits = F.when(F.col("vec_id") % 3 == 1, (F.col("vec_id") % 8).cast("double"))
-    return e.select("vec_id", F.round(dense.hybrid(F.col("v")[0], sparse, hits), 6).alias("score"))
+WEIGHTS = """tok as (select doc_id, text, regexp_extract_all(lower(text), '[a-z]{2,}') as ts from documents),
+post as (select doc_id, term, count(*) as tf from (select doc_id, unnest(ts) as term from tok) group by all),
+df as (select term, ln(1 + ((select count(*) from documents) - count(*) + 0.5) / (count(*) + 0.5)) as idf from post group by term),
+wt as (select doc_id, term, (1 + ln(tf)) * idf as w from post join df using (term)),
+dw as (select doc_id, term, round(w / norm, 5) as weight from (select *, sqrt(sum(w * w) over (partition by doc_id)) as norm from wt) qualify row_number() over (partition by doc_id order by w desc, term) <= 64),
+q0 as (select item_id, term, count(*) as tf from (select item_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) as term from benchmark) group by all),
+q1 as (select item_id, term, (1 + ln(tf)) * idf as w from q0 join df using (term)),
+qw as (select item_id, term, w / sqrt(sum(w * w) over (partition by item_id)) as qw from q1)"""
 
 
-@query("""with u as (select vec_id, unnest(range(0, 64)) as k, unnest(embedding::double[]) as x from embeddings) select vec_id, string_agg(k::varchar, ',' order by x desc, k) as top from u qualify row_number() over (partition by vec_id order by x desc, k) <= 8 group by vec_id""".replace(" qualify row_number() over (partition by vec_id order by x desc, k) <= 8", "").replace("from u group", "from (select * from u qualify row_number() over (partition by vec_id order by x desc, k) <= 8) group"))
-def rnk_top_weights(spark, sf_dir):
-    weights = F.map_from_arrays(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long")), F.col("embedding").cast("array<double>"))
-    kept = F.map_keys(dense.top_weights(weights, 8))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(kept.cast("array<string>"), ",").alias("top"))
+def documents_index(spark, sf_dir):
+    return inverted.open_or_build(table(spark, sf_dir, "documents"), "documents")
 
 
-FUSED = """dense as (select item_id, doc_id, row_number() over (partition by item_id order by md5(item_id || ':' || doc_id), doc_id) as rank from score where score > 0),
+@query(f"with {WEIGHTS} select doc_id, term, weight from dw")
+def rnk_top_weights(spark, sf_dir):
+    """The 64 largest term weights of each document, as the impact index has them."""
+    impacts = sparse.impact_index(documents_index(spark, sf_dir))
+    return spark.read.parquet(f"{impacts.folder}/impacts").select("doc_id", "term", "weight")
+
+
+@query(f"with {WEIGHTS}, s as (select item_id, doc_id, sum(qw * weight) as score from qw join dw using (term) group by all) select item_id, doc_id, round(score, 6) as score, rank from (select *, row_number() over (partition by item_id order by round(score, 6) desc, doc_id) as rank from s where score > 0) where rank <= 10")
+def rnk_sparse_top10(spark, sf_dir):
+    index = documents_index(spark, sf_dir)
+    found = sparse.top_k(sparse.impact_index(index), sparse.query_weights(index, table(spark, sf_dir, "benchmark")), 10)
+    return found.select("item_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+#: A vector is the counts of a text's Latin words by the first eight digits of their MD5, modulo 64.
+EMBEDDED = """words(side, id, w) as (select 0, doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) from documents union all select 1, item_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) from benchmark),
+places as (select w, ('0x' || substr(md5(w), 1, 8))::bigint % 64 as place from (select distinct w from words)),
+sums as (select side, id, place, count(*)::double as x from words join places using (w) group by all),
+unit as (select *, x / sqrt(sum(x * x) over (partition by side, id)) as u from sums),
+cosines as (select q.id as item_id, d.id as doc_id, round(sum(q.u * d.u), 6) as score from unit q join unit d using (place) where q.side = 1 and d.side = 0 group by all),
+dense as (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id) as rank from cosines)"""
+FUSED = f"""{EMBEDDED},
 channels as (select item_id, doc_id, rank from ranked where rank <= 50 union all select item_id, doc_id, rank from dense where rank <= 50),
 fused as (select item_id, doc_id, sum(1.0::double / (60 + rank)) as score from channels group by item_id, doc_id)"""
 
 
+def document_vectors(spark, sf_dir):
+    """The vector store of documents, kept next to the index and made again for other documents."""
+    docs = table(spark, sf_dir, "documents")
+    path = f"{shared_dir(spark)}/corpusloom/vectors/{inverted.corpus_version(docs, 'doc_id', 'text').replace(':', '_')}"
+    found = stored(spark, path)
+    if found is None:
+        vectors.embedded(docs, "doc_id", T.tokenize(F.col("text"))).write.mode("overwrite").parquet(path)
+        found = stored(spark, path)
+    return found
+
+
+def similar(spark, sf_dir, k):
+    """(item_id, doc_id, score, rank): the documents whose vectors are nearest to each item's."""
+    asked = vectors.embedded(table(spark, sf_dir, "benchmark"), "item_id", T.tokenize(F.col("text")))
+    found = vectors.nearest(asked, document_vectors(spark, sf_dir), k, "doc_id", qkey="item_id")
+    return found.withColumnRenamed("query_id", "item_id")
+
+
 def channels(spark, sf_dir):
-    """BM25 and a second channel that ranks the same candidates by a hash, fifty each."""
-    items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    scored = lexical.bm25(items, docs).withColumn("r6", F.round("score", 6))
-    one = lexical.top_k(scored, "item_id", "doc_id", 50, "r6").select("item_id", "doc_id", "rank")
-    other = scored.withColumn("h", F.md5(F.concat_ws(":", "item_id", "doc_id")))
-    w = Window.partitionBy("item_id").orderBy("h", "doc_id")
-    two = other.withColumn("rank", F.row_number().over(w)).where("rank <= 50").select("item_id", "doc_id", "rank")
-    return one, two
+    """The lexical and the dense channel, fifty documents each."""
+    return ranked(spark, sf_dir, 50).select("item_id", "doc_id", "rank"), similar(spark, sf_dir, 50).select("item_id", "doc_id", "rank")
+
+
+@query(f"""with {WEIGHTS}, {EMBEDDED}, near as (select item_id, doc_id, score from dense where rank <= 50),
+s as (select item_id, doc_id, sum(qw * weight) as sparse from qw join dw using (term) join near using (item_id, doc_id) group by all),
+has as (select distinct doc_id from dw),
+h as (select near.item_id, near.doc_id, sum(case when contains(lower(d.text), term) then qw else 0 end) as hits from near join documents d using (doc_id) join qw using (item_id) group by all)
+select item_id, doc_id, round(case when item_id not in (select item_id from qw) then score when doc_id in (select doc_id from has) then 0.7 * score + 0.3 * least(1, coalesce(sparse, 0)) else 0.7 * score + 0.3 * least(1, coalesce(hits, 0) / 5) end, 8) as score
+from near left join s using (item_id, doc_id) left join h using (item_id, doc_id)""")
+def rnk_hybrid_score(spark, sf_dir):
+    """The fifty nearest documents of each item by vectors, scored by vectors and term weights."""
+    index, docs = documents_index(spark, sf_dir), table(spark, sf_dir, "documents")
+    asked = sparse.query_weights(index, table(spark, sf_dir, "benchmark"))
+    found = sparse.hybrid(similar(spark, sf_dir, 50), sparse.impact_index(index), asked, docs)
+    return found.select("item_id", "doc_id", F.round("score", 8).alias("score"))
+
+
+@query(f"with {EMBEDDED} select item_id, doc_id, score, rank from dense where rank <= 10")
+def dense_documents(spark, sf_dir):
+    return similar(spark, sf_dir, 10).select("item_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"with {BM25}, {FUSED} select item_id, doc_id, round(score, 6) as score, round(least(1, 30 * score), 6) as scaled from fused")
@@ -292,7 +358,7 @@ def ans_exact_cache(spark, sf_dir):
 def ans_semantic_cache(spark, sf_dir):
     """The nearest stored vector of each query if it is near enough and not over."""
     e = table(spark, sf_dir, "embeddings")
-    found = dense.nearest(e.where("vec_id % 100 = 0"), e.where("vec_id % 2 = 1"), 1)
+    found = vectors.nearest(e.where("vec_id % 100 = 0"), e.where("vec_id % 2 = 1"), 1)
     return found.where("score >= 0.3").select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 

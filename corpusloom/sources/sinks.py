@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators.corpus import changed
+from corpusloom.sources.storage import stored
 
 
 def upsert(new: DataFrame, old: DataFrame, key: str, hash_: str, path: str) -> tuple[int, int]:
@@ -27,6 +30,21 @@ def ordered_jsonl(rows: DataFrame, path: str, *order: str) -> None:
     rows.select(*sorted(rows.columns)).orderBy(*order).write.mode("overwrite").json(path)
 
 
+def publish_jsonl(rows: DataFrame, root: str, *order: str) -> None:
+    """``ordered_jsonl`` as a new version below ``root``; readers find it once its log row is written, and the version before until then."""
+    folder = f"version-{uuid.uuid4().hex}"
+    ordered_jsonl(rows, f"{root}/{folder}", *order)
+    row = rows.sparkSession.range(1).select(F.lit(folder).alias("folder"), F.current_timestamp().alias("at"))
+    row.coalesce(1).write.mode("append").parquet(f"{root}/log")
+
+
+def published_jsonl(spark: SparkSession, root: str, schema: str) -> DataFrame | None:
+    """The newest whole version below ``root``; None where there is none."""
+    log = stored(spark, f"{root}/log")
+    newest = log and log.orderBy(F.desc("at"), "folder").first()
+    return newest and spark.read.schema(schema).json(f"{root}/{newest.folder}")
+
+
 def append_events(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
