@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.sources.storage import written
 
 
 def boilerplate(pages: DataFrame, lines: Column, group: str, key: str, fraction: float = 0.55, least: int = 40, shortest: int = 2, longest: int = 180) -> DataFrame:
@@ -135,20 +136,32 @@ def near_duplicates(docs: DataFrame, key: str, group: str, text: Column, thresho
 
     Exact and without all pairs: shingles are ordered by rarity, and two texts of that similarity must
     share one of the first size - ceil(threshold * size) + 1 shingles of each; those prefixes meet.
-    Exact copies (equal shingle sets) are folded into one row first and expanded as (first, copy).
-    Shingles are compared by their 64-bit hashes.
+    Shingles that a single text has come first in that order and meet nothing, so they leave with one
+    count and only take up places; of the others a pair that meets at some place must still be able to
+    share enough of what follows it. Exact copies (equal shingle sets, told by two hashes of the set)
+    are folded into one row first and expanded as (first, copy). Shingles are compared by their 64-bit
+    hashes.
     """
     sets = docs.select(F.col(key).alias("k"), F.col(group).alias("g"), F.array_sort(F.array_distinct(F.transform(T.shingles(text, n), lambda x: F.xxhash64(x)))).alias("s")).where("size(s) > 0")
-    folded = sets.groupBy("g", F.xxhash64("s").alias("h"), "s").agg(F.min("k").alias("k"))
-    copies = sets.join(folded.select("g", "s", F.col("k").alias("a")), ["g", "s"]).where("k <> a").select("a", F.col("k").alias("b"), F.lit(1.0).alias("similarity"))
-    df = folded.select(F.explode_outer("s").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("df"))
-    flat = folded.select("k", "g", F.size("s").alias("n"), F.explode_outer("s").alias("x")).join(df, "x")
-    rare = Window.partitionBy("k").orderBy("df", "x")
-    prefix = flat.withColumn("r", F.row_number().over(rare)).where(F.col("r") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1).where("df > 1")
-    one = prefix.select(F.col("k").alias("a"), "g", "x", F.col("n").alias("na"))
-    two = prefix.select(F.col("k").alias("b"), "g", "x", F.col("n").alias("nb"))
+    sets = written(sets.withColumn("h", F.xxhash64("s")).withColumn("h2", F.xxhash64(F.lit(1), F.col("s"))), "shingles")
+    first = sets.groupBy("g", "h", "h2").agg(F.min("k").alias("a"), F.count(F.lit(1)).alias("m"))
+    copied = sets.select("g", "h", "h2", "k").join(first.where("m > 1").drop("m"), ["g", "h", "h2"]).where("k <> a")
+    copies = copied.select("a", F.col("k").alias("b"), F.lit(1.0).alias("similarity"))
+    folded = sets.join(copied.select("k"), "k", "left_anti")
+
+    df = F.count(F.lit(1)).over(Window.partitionBy("x"))
+    shared = folded.select("k", "g", F.size("s").alias("n"), F.explode("s").alias("x")).withColumn("df", df).where("df > 1")
+    shared = shared.withColumn("alone", F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("k")))
+    at = F.row_number().over(Window.partitionBy("k").orderBy("df", "x")) + F.col("alone")
+    prefix = written(shared.withColumn("at", at).where(F.col("at") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1).select("k", "g", "x", "n", "at"), "prefixes")
+    one = prefix.select(F.col("k").alias("a"), "g", "x", F.col("n").alias("na"), F.col("at").alias("pa"))
+    two = prefix.select(F.col("k").alias("b"), "g", "x", F.col("n").alias("nb"), F.col("at").alias("pb"))
+    # at their first meeting two texts share at most what is left of either, and must share t / (1 + t) of both
+    left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1
     fit = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-    pairs = one.join(two, ["g", "x"]).where(fit).select("a", "b").distinct()
+    met = one.join(two, ["g", "x"]).where(fit).withColumn("left", left)
+    pairs = met.groupBy("a", "b").agg(F.max("left").alias("left"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    pairs = pairs.where(F.col("left") >= F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9).select("a", "b")
     sa, sb = folded.select(F.col("k").alias("a"), F.col("s").alias("sa")), folded.select(F.col("k").alias("b"), F.col("s").alias("sb"))
     checked = pairs.join(sa, "a").join(sb, "b").select("a", "b", T.jaccard(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= threshold)
     return checked.unionByName(copies)

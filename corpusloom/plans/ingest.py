@@ -36,7 +36,9 @@ def scraped_pages(spark, sf_dir):
 
 @query(f"""with b as (select page_id, url, [trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1))] as h, list_filter(list_transform(regexp_extract_all(html, '<p>([^<]*)</p>', 1), lambda x: trim(x)), lambda x: length(x) > 2) as ps from pages),
 t as (select page_id, url, trim(array_to_string(list_concat(list_transform(list_filter(h, lambda x: x <> ''), lambda x: chr(10) || '## ' || x || chr(10)), ps), chr(10)), chr(10) || ' ') as t from b),
-k as (select page_id, url, {KEPT.format("regexp_replace(t, '(?i)&(nbsp|amp|lt|gt|quot|#[0-9]+);', ' ', 'g')")} as k from t), c as (select page_id, url, {CLEAN} as content from k)
+e as (select page_id, url, regexp_replace(t, '(?i)&(nbsp|amp|lt|gt|quot|#[0-9]+);', ' ', 'g') as t from t),
+x as (select page_id, url, case when instr(lower(t), 'all rights reserved') - 1 > floor(length(t) * 0.55) then rtrim(left(t, instr(lower(t), 'all rights reserved') - 1), ' ') else t end as t from e),
+k as (select page_id, url, {KEPT.format("t")} as k from x), c as (select page_id, url, {CLEAN} as content from k)
 select 'page=PAGE_' || page_id as id, url, case when page_id % 4 = 0 then 'ar' else 'en' end as language, content, case when contains(lower(url), 'blog') then 'post' when contains(lower(url), '/en/') then 'article' else 'general' end as doc_type
 from c where length(content) >= 80""")
 def src_ingest(spark, sf_dir):
