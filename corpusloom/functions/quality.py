@@ -32,7 +32,7 @@ def language_error(text: Column, lang: Column) -> Column:
     """
     def judge(counts: Column) -> Column:
         arabic, latin = counts["a"], counts["l"]
-        fits = F.when(lang == "ar", (arabic >= 20) | ((arabic > 0) & (arabic >= 0.15 * latin))).otherwise((latin >= 30) & (arabic <= 0.5 * latin))
+        fits = F.when(lang == "ar", (arabic >= 20) | (arabic >= 0.15 * latin)).otherwise((latin >= 30) & (arabic <= 0.5 * latin))
         return F.when(~F.coalesce(fits, F.lit(False)), F.concat(F.lit("language_mismatch:"), F.coalesce(lang, F.lit("?"))))
 
     counts = F.struct(F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[؀-ۿ]")).alias("a"), F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[A-Za-z]")).alias("l"))
@@ -102,7 +102,7 @@ def table_truncated(rows: Column) -> Column:
 
 def admitted_lines(text: Column, furniture: str) -> Column:
     """Trimmed lines of two characters or more that are neither furniture nor one block of base64."""
-    keep = lambda x: (F.length(x) >= 2) & ~matches(x, furniture) & ~x.rlike(r"^[A-Za-z0-9+/=]{60,}$")
+    keep = lambda x: (F.length(x) >= 2) & ~matches(x, furniture) & ~F.replace(x, F.lit(" "), F.lit("")).rlike(r"^[A-Za-z0-9+/=]{100,}$")
     return F.array_join(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), keep), "\n")
 
 

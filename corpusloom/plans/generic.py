@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.plans.registry import query, table
+from corpusloom.sources.storage import written
+from corpusloom.streaming import sketches
 
 REVENUE = "(l_extendedprice::decimal(18,2) * (1 - l_discount::decimal(18,2)))"
 
@@ -122,6 +124,19 @@ def str_percentile_windows(spark, sf_dir):
     return e.agg(F.expr("percentile_disc(0.95) within group (order by value)").alias("p95")).select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_type", "p95")
 
 
+@query("select time_bucket(interval '1 day', ts) as window_start, event_type, count(value)::bigint as n, true as within from events group by 1, 2")
+def str_sketch_windows(spark, sf_dir):
+    """Sketches of an hour, stored, merged into days; whether the rank of their 0.95 quantile is within the sketches' error, by all events."""
+    e = table(spark, sf_dir, "events")
+    hours = written(sketches.windows(e, "value", "1 hour", "event_type"), "sketches")
+    days = sketches.longer(hours, "1 day", "event_type").select("window_start", "event_type", "n", sketches.quantile(0.95).alias("q"))
+    met = e.withColumn("window_start", F.window("ts", "1 day")["start"]).join(days, ["window_start", "event_type"])
+    rank = met.groupBy("window_start", "event_type", "n").agg(F.count_if(F.col("value") < F.col("q")).alias("below"), F.count_if(F.col("value") <= F.col("q")).alias("upto"))
+    # a rank of n values cannot be told closer than one of them
+    near = (F.col("below") <= (0.95 + sketches.ERROR) * F.col("n") + 1) & (F.col("upto") >= (0.95 - sketches.ERROR) * F.col("n") - 1)
+    return rank.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", near.alias("within"))
+
+
 @query("""with g as (select *, case when ts - lag(ts) over (partition by user_id order by ts) < interval '30 minutes' then 0 else 1 end as fresh from events),
 s as (select *, sum(fresh) over (partition by user_id order by ts, event_id) as sid from (select * from g)) select user_id, min(ts) as begin, count(*)::bigint as n from s group by user_id, sid""")
 def str_sessions(spark, sf_dir):

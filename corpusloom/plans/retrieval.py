@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import dense, inverted, lexical, sparse, vectors
+from corpusloom.operators import dense, inverted, lexical, prefixes, sparse, vectors
 from corpusloom.operators import procedural as P
 from corpusloom.operators import ranking as R
 from corpusloom.plans.registry import query, table
@@ -328,16 +328,16 @@ def dup_context_compression(spark, sf_dir):
     return P.compress(rows.join(F.broadcast(items), "query_id"))
 
 
-@query("""with t as (select doc_id, lower(string_split(text, chr(10))[1]) as title from documents where lang = 'en'), q as (select 'the' as prefix union all select 'an'),
-s as (select prefix, title, min(doc_id) as doc_id, max(case when starts_with(title, prefix) then 1.0 when contains(title, prefix) then 0.82 end) as score from t join q on contains(title, prefix) group by all)
-select prefix, title, score::double as score from s qualify row_number() over (partition by prefix order by score desc, doc_id) <= 8""")
+@query(r"""with t as (select lower(trim(regexp_replace(string_split(text, chr(10))[1], '[ \t\n\x0B\f\r]+', ' ', 'g'))) as title from documents), w as (select title, count(*) as weight from t where title <> '' group by title),
+q as (select lower(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'))) as t from benchmark), p as (select distinct left(t, n) as prefix from (select t, unnest(range(1, least(12, length(t)) + 1)) as n from q) where right(left(t, n), 1) <> ' '),
+m as (select prefix, title, weight, case when starts_with(title, prefix) then 1.0 else 0.82 end as score from p join w on starts_with(title, prefix) or contains(title, ' ' || prefix)),
+r as (select *, row_number() over (partition by prefix order by score desc, weight desc, title) as rank from m) select prefix, title, score::double as score, rank from r where rank <= 8""")
 def rnk_autocomplete(spark, sf_dir):
-    titles = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.lower(F.split("text", "\n")[0]).alias("title"))
-    rows = titles.select("*", F.explode(F.array(F.lit("the"), F.lit("an"))).alias("prefix")).where(F.contains("title", "prefix"))
-    rows = rows.withColumn("score", F.when(F.startswith("title", "prefix"), 1.0).otherwise(0.82))
-    rows = rows.groupBy("prefix", "title").agg(F.min("doc_id").alias("doc_id"), F.max("score").alias("score"))
-    w = Window.partitionBy("prefix").orderBy(F.desc("score"), "doc_id")
-    return rows.withColumn("r", F.row_number().over(w)).where("r <= 8").select("prefix", "title", "score")
+    """Every beginning of every item, completed from the first lines of all documents."""
+    titles = table(spark, sf_dir, "documents").select(F.split("text", "\n")[0].alias("first"))
+    index = written(prefixes.index(titles, "first"), "prefixes")
+    found = prefixes.complete(index, prefixes.asked(table(spark, sf_dir, "benchmark"), "text"))
+    return found.select("prefix", "title", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""with {TOP}, s as (select item_id, url, max(score) as score from top where score >= 0.18 group by all) select item_id, url, round(score, 6) as score from s qualify row_number() over (partition by item_id order by round(score, 6) desc, url) <= 5""")

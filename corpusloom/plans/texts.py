@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions import spans
 from corpusloom.functions import text as T
 from corpusloom.functions import url as U
 from corpusloom.operators import corpus as C
@@ -27,12 +28,19 @@ def txt_normalize(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.normalize(F.col("text"), F.col("lang")).alias("clean"))
 
 
-AR = "(0, 'كتاب  أحمدُ إلى مدرسة'), (1, 'الـقـاهرة ىٱآ'), (2, 'plain text')"
+#: Documents in Arabic letters: each Latin letter stands for one, some for variants, tatweel and diacritics.
+LATIN, ARABIC = "abcdefghijklmnopqrstuvwxyzéèêçßäöü", "أبتثجحخدذرزسشصضطظعغفقكلمنهىةآإـُِو"
+LETTERS = f"translate(lower(text), '{LATIN}', '{ARABIC}')"
+NORMAL = f"trim(regexp_replace(translate(regexp_replace({LETTERS}, '{T.AR_DIACRITICS}', '', 'g'), 'أإآٱىةـ', 'اااايه'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
 
 
-@query(f"""with v(id, t) as (values {AR}) select id, trim(regexp_replace(translate(regexp_replace(t, '{T.AR_DIACRITICS}', '', 'g'), 'أإآٱىةـ', 'اااايه'), '[ \\t\\n\\f\\r]+', ' ', 'g')) as n from v""")
+def in_arabic(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.translate(F.lower("text"), LATIN, ARABIC).alias("t"))
+
+
+@query(f"select doc_id, {NORMAL} as n from documents")
 def txt_normalize_arabic(spark, sf_dir):
-    return spark.sql(f"select * from (values {AR}) as v(id, t)").select("id", T.normalize_arabic(F.col("t")).alias("n"))
+    return in_arabic(spark, sf_dir).select("doc_id", T.normalize_arabic(F.col("t")).alias("n"))
 
 
 @query("select doc_id, len(regexp_extract_all(lower(text), '[a-z]{2,}'))::bigint as n, array_to_string(regexp_extract_all(lower(text), '[a-z]{2,}')[1:10], ' ') as head from documents")
@@ -63,9 +71,17 @@ def txt_stem_en(spark, sf_dir):
     return words.select("w", T.stem_en(F.col("w")).alias("stem"))
 
 
-@query("select * from (values ('والكتاب', 'كتاب'), ('مدرستهم', 'مدرست'), ('بيت', 'بيت'), ('المعلمون', 'معلم')) as v(w, stem)")
+def _stem_sql() -> str:
+    front = " ".join(f"when starts_with(w, '{p}') and length(w) - {len(p)} >= 3 then substr(w, {len(p) + 1})" for p in T.AR_PREFIXES)
+    back = " ".join(f"when suffix(c, '{x}') and length(c) - {len(x)} >= 3 then left(c, length(c) - {len(x)})" for x in T.AR_SUFFIXES)
+    words = f"select distinct unnest(regexp_extract_all({NORMAL}, '[؀-ۿ]{{2,}}')) as w from documents"
+    return f"with w as ({words}), c as (select w, case {front} else w end as c from w) select w, case {back} else c end as stem from c"
+
+
+@query(_stem_sql())
 def txt_stem_ar(spark, sf_dir):
-    return spark.sql("select * from (values ('والكتاب'), ('مدرستهم'), ('بيت'), ('المعلمون')) as v(w)").select("w", T.stem_ar(F.col("w")).alias("stem"))
+    words = in_arabic(spark, sf_dir).select(F.explode(T.tokenize(F.col("t"), "ar")).alias("w")).distinct()
+    return words.select("w", T.stem_ar(F.col("w")).alias("stem"))
 
 
 STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS_EN)
@@ -323,6 +339,16 @@ def cls_entities(spark, sf_dir):
     return rows.groupBy("doc_id", "e.type", "e.value").agg(F.count(F.lit(1)).alias("n"))
 
 
+ENTITY_KINDS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), ("percent", r"[0-9]+(?:\.[0-9]+)?%"), ("date", r"[0-9]{4}-[0-9]{2}-[0-9]{2}"), ("amount", r"[0-9][0-9,]*(?:\.[0-9]+)?(?: ?(?:USD|EUR|GBP))?")]
+
+
+@query()
+def cls_entity_spans(spark, sf_dir):
+    """Entities of every document with their places, none within another; a test holds them against a loop."""
+    found = docs(spark, sf_dir).select("doc_id", F.explode(spans.entities(F.col("text"), ENTITY_KINDS)).alias("e"))
+    return found.select("doc_id", "e.start", "e.end", "e.kind", "e.value")
+
+
 @query("select doc_id, array_to_string(list_filter(['tion', 'ing', 'que', 'ung', 'zzz'], lambda k: contains(lower(left(text, 2000)), k))[1:12], ',') as keywords from documents")
 def cls_keywords(spark, sf_dir):
     low = F.lower(F.substring("text", 1, 2000))

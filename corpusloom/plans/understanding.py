@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import quality as Q
 from corpusloom.functions import text as T
 from corpusloom.operators import corpus as C
+from corpusloom.plans import registry
 from corpusloom.plans.registry import query, table
 
 
@@ -30,7 +31,7 @@ def cls_official_category(spark, sf_dir):
 
 
 @query("""with c as (select doc_id, lang, len(regexp_extract_all(text, '[؀-ۿ]')) as a, len(regexp_extract_all(text, '[A-Za-z]')) as l from documents)
-select doc_id, case when not (case when lang = 'ar' then a >= 20 or (a > 0 and a >= 0.15 * l) else l >= 30 and a <= 0.5 * l end) then 'language_mismatch:' || lang end as error from c""")
+select doc_id, case when not (case when lang = 'ar' then a >= 20 or a >= 0.15 * l else l >= 30 and a <= 0.5 * l end) then 'language_mismatch:' || lang end as error from c""")
 def cls_language_gate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", Q.language_error(F.col("text"), F.col("lang")).alias("error"))
 
@@ -156,7 +157,7 @@ def txt_table_truncated(spark, sf_dir):
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), Q.table_truncated(rows).alias("md"))
 
 
-@query(r"""with l as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) >= 2 and not regexp_matches(x, '(?i)subscribe|cookie|share this') and not regexp_matches(x, '^[A-Za-z0-9+/=]{60,}$')) as l from documents)
+@query(r"""with l as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) >= 2 and not regexp_matches(x, '(?i)subscribe|cookie|share this') and not regexp_matches(replace(x, ' ', ''), '^[A-Za-z0-9+/=]{100,}$')) as l from documents)
 select doc_id, array_to_string(l, chr(10)) as t from l""")
 def txt_admit_lines(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", Q.admitted_lines(F.col("text"), "subscribe|cookie|share this").alias("t"))
@@ -289,14 +290,16 @@ def rnk_card_citations(spark, sf_dir):
     return R.citation_pool(rows, "q", "url", "priority", "id", 5, F.desc("p_retailprice")).select("q", "id", "priority", "rank")
 
 
-@query("""with s as (select doc_id, lang, len(regexp_extract_all(text, '[^ \t\n]+')) as w, sha256(lower(text)) as h from documents where length(text) >= 120),
-p as (select a.doc_id as i, b.doc_id as j, case when a.w >= b.w then a.doc_id else b.doc_id end as canonical, case when a.w >= b.w then b.doc_id else a.doc_id end as duplicate from s a join s b on a.lang = b.lang and a.h = b.h and a.doc_id < b.doc_id)
+@query(f"""with near as ({registry.sql_of("dup_near_shingles")}), s as (select doc_id, len(regexp_extract_all(text, '[^ \t\n]+')) as w from documents),
+p as (select a as i, b as j, case when x.w >= y.w then a else b end as canonical, case when x.w >= y.w then b else a end as duplicate from near join s x on x.doc_id = a join s y on y.doc_id = b)
 select duplicate, arg_min(canonical, i * 1000000000 + j) as duplicate_of from p group by duplicate""")
 def win_near_owner(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where("length(text) >= 120").select("doc_id", "lang", F.sha2(F.lower("text"), 256).alias("h"), F.regexp_count("text", F.lit("[^ \t\n]+")).alias("w"))
-    one, two = rows.select(F.col("doc_id").alias("i"), "lang", "h", F.col("w").alias("wi")), rows.select(F.col("doc_id").alias("j"), "lang", "h", F.col("w").alias("wj"))
-    pairs = one.join(two, ["lang", "h"]).where("i < j")
-    return C.near_owner(pairs, "i", "j", F.col("wi") >= F.col("wj"))
+    """Of each pair of near copies the longer one owns the other."""
+    rows = table(spark, sf_dir, "documents")
+    pairs = C.near_duplicates(rows, "doc_id", "lang", F.col("text"))
+    words = rows.select("doc_id", F.regexp_count("text", F.lit("[^ \t\n]+")).alias("w"))
+    one, two = words.toDF("a", "wa"), words.toDF("b", "wb")
+    return C.near_owner(pairs.join(one, "a").join(two, "b"), "a", "b", F.col("wa") >= F.col("wb"))
 
 
 @query("""with c as (select conv_id, turn, text, min(turn) over (partition by conv_id) as parent from conversations)
