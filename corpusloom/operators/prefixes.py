@@ -22,10 +22,10 @@ def index(titles: DataFrame, title: str, longest: int = LONGEST, keep: int = KEE
     the best are found per (prefix, salt) first and of those per prefix.
     """
     rows = titles.select(plain(F.col(title)).alias("title")).where("title <> ''").groupBy("title").agg(F.count(F.lit(1)).alias("weight"))
-    starts = F.expr("filter(sequence(1, length(title)), i -> i = 1 or substring(title, i - 1, 1) = ' ')")
-    edges = F.explode(F.expr(f"sequence(1, least({longest}, length(title) - start + 1))"))
-    rows = rows.select("title", "weight", F.explode(starts).alias("start")).select("title", "weight", "start", edges.alias("n"))
-    rows = rows.select("title", "weight", F.expr("substring(title, start, n)").alias("prefix"), F.when(F.col("start") == 1, 1.0).otherwise(0.82).alias("score")).where("not endswith(prefix, ' ')")
+    # so many characters span as many words at most, so a beginning needs a few words and not the whole title
+    heads = F.expr(f"transform(array(split(title, ' ')), w -> transform(sequence(1, size(w)), i -> struct(i = 1 as whole, substring(array_join(slice(w, i, {longest}), ' '), 1, {longest}) as head)))[0]")
+    rows = rows.select("title", "weight", F.explode(heads).alias("h")).select("title", "weight", F.when(F.col("h.whole"), 1.0).otherwise(0.82).alias("score"), F.col("h.head").alias("head"))
+    rows = rows.select("title", "weight", "score", F.explode(F.expr("transform(sequence(1, length(head)), n -> substring(head, 1, n))")).alias("prefix")).where("not endswith(prefix, ' ')")
     rows = rows.groupBy("prefix", "title").agg(F.max("score").alias("score"), F.first("weight").alias("weight"))
     best = [F.desc("score"), F.desc("weight"), F.col("title")]
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("title"), F.lit(salts)))
