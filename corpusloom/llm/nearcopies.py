@@ -5,9 +5,11 @@ the grid join of ``simhash`` finds within two bits are candidates; that is exact
 reaches only copies of a few per cent, since a pair of Jaccard 0.8 differs in ten bits or so. For the
 rest a class has 32 keys of four minima each; two classes of Jaccard 0.8 share none of them with a
 probability of 5e-8 (less above), and only that can lose a pair. Each class is compared with the
-smallest and largest of every key it has, which is linear in a large group and mostly joins it up;
-then all pairs of a key that are still apart are compared. Only classes that meet another are moved
-with their shingles.
+smallest and largest of every key it has, which is linear in a large group and mostly joins it up.
+Of the classes of a key that are still apart, a few are compared pair by pair. Many of them (pages of
+one template, say, each with words of its own) meet by their rarest shingles instead, as far as a
+pair of the threshold has to share one of these: exact, and without pairs where what they share is
+the template. Only classes that meet another are moved with their shingles.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from corpusloom.llm.simhash import SEED, components, links, one_of_each
 
 WORDS, JACCARD = 5, 0.8
 BANDS, MINIMA = 32, 4
+#: Classes of one key that are compared pair by pair; more meet by their rarest shingles.
+FEW = 16
 #: Shingles whose minima are taken at once.
 BLOCK = 4096
 
@@ -128,6 +132,44 @@ def verified(pairs: DataFrame, sets: DataFrame, jaccard: float = JACCARD) -> Dat
     return met.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
 
 
+def unpacked(sets: DataFrame) -> DataFrame:
+    """(fp, h): a row for each shingle of ``sets`` (fp, s)."""
+
+    def run(batches):
+        for batch in batches:
+            for fp, s in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = np.frombuffer(s.as_buffer(), np.int64)
+                for at in range(0, len(own), 1 << 16):
+                    part = own[at : at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), fp, np.int64)), pa.array(part)], ["fp", "h"])
+
+    return sets.select("fp", "s").mapInArrow(run, "fp long, h long")
+
+
+def crowded(members: DataFrame, sets: DataFrame, jaccard: float = JACCARD) -> DataFrame:
+    """(a, b): the pairs of ``members`` (fp, n, label) of two labels that can have a Jaccard of ``jaccard``; none that has it is missing.
+
+    With the shingles of each class in one order, rarest first, such a pair shares one among the first
+    n - ceil(j n) + 1 of the larger class and the first n - ceil(2 j n / (1 + j)) + 1 of the smaller;
+    and where the first shared one stands says how many can follow. Shingles of one class alone only
+    take up places.
+    """
+    rows = written(unpacked(sets.join(members.select("fp"), "fp")), "shingles")
+    shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    order = rows.join(shared, "h").groupBy("fp").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("o")).join(members, "fp")
+    # a little less before rounding up, so that no rank is lost to the last digit
+    reach = {side: F.col("n") - F.ceil(part * F.col("n") - 1e-9) + 1 for side, part in (("probe", jaccard), ("index", 2 * jaccard / (1 + jaccard)))}
+    alone = F.col("n") - F.size("o")
+    order = order.select("fp", "n", "label", alone.alias("alone"), reach["index"].alias("index"), F.slice("o", 1, F.greatest(F.lit(0), reach["probe"] - alone).cast("int")).alias("o")).where("size(o) > 0")
+    order = order.select("fp", "n", "label", "alone", "index", F.posexplode("o").alias("i", "e"))
+    order = written(order.select("fp", "n", "label", "index", (F.col("alone") + F.col("i") + 1).alias("rank"), F.col("e.h").alias("h")), "rarest")
+    small = order.where("rank <= index").select("h", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("rank").alias("ra"))
+    large = order.select("h", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("rank").alias("rb"))
+    fit = (F.col("na") >= jaccard * F.col("nb") - 1e-9) & (1 + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) >= jaccard / (1 + jaccard) * (F.col("na") + F.col("nb")) - 1e-9)
+    found = small.join(large, "h").where("a <> b and la <> lb and na <= nb").where(fit)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def linked(docs: DataFrame, words: int = WORDS, jaccard: float = JACCARD) -> DataFrame:
     """(doc_id, th, label) for every row of ``docs``: rows of one label are near copies, directly or by others."""
     marked = written(signatures(docs, words), "signatures")
@@ -154,12 +196,17 @@ def linked(docs: DataFrame, words: int = WORDS, jaccard: float = JACCARD) -> Dat
     label = written(label, "labels")
 
     apart = met.select("key", "fp", "n").join(label, "fp")
-    mixed = apart.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    mixed = apart.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("members")).where("x <> y").select("key", "members")
     apart = written(apart.join(mixed, "key"), "apart")
-    one = apart.select("key", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    two = apart.select("key", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    few = apart.where(F.col("members") <= FEW)
+    one = few.select("key", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    two = few.select("key", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
     fit = F.least("na", "nb") >= F.lit(jaccard) * F.greatest("na", "nb")
-    rest = one.join(two, "key").where("a < b and la <> lb").where(fit).select("a", "b").distinct()
+    rest = one.join(two, "key").where("a < b and la <> lb").where(fit).select("a", "b")
+    many = written(apart.where(F.col("members") > FEW).select("fp", "n", "label").distinct(), "crowd")
+    if not many.isEmpty():
+        rest = rest.unionByName(crowded(many, sets, jaccard))
+    rest = rest.distinct()
     more = written(verified(rest, sets, jaccard), "links")
     if not more.isEmpty():
         label = components(edges.unionByName(more)).select(F.col("node").alias("fp"), "label")

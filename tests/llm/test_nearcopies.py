@@ -77,3 +77,38 @@ def test_bands_meet_at_the_threshold():
         a, b = (nearcopies.np.unique(nearcopies.np.array(both + [rng.getrandbits(64) for _ in range(10)], nearcopies.np.uint64)) for _ in range(2))
         missed += not (nearcopies.band_keys(a) == nearcopies.band_keys(b)).any()
     assert missed == 0
+
+
+def test_pages_of_one_template_are_not_compared_in_all_pairs(spark, monkeypatch):
+    """Pages of 200 shared and 40 own words, and a near copy of every hundredth."""
+    counted = []
+    plain = nearcopies.verified
+    monkeypatch.setattr(nearcopies, "verified", lambda pairs, *rest: counted.append(pairs.count()) or plain(pairs, *rest))
+    shared = " ".join(f"t{i}" for i in range(200))
+    pages = 1500
+    rows = [(k, f"{shared} " + " ".join(f"p{k}w{i}" for i in range(40)), "en") for k in range(pages)]
+    rows += [(pages + k, rows[k][1].replace(f"p{k}w39", "new"), "en") for k in range(0, pages, 100)]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect()) == list(range(pages))
+    assert sum(counted) < 64 * len(rows) and counted[-1] <= len(rows)
+
+
+def test_crowds_lose_no_pair(spark, monkeypatch):
+    """Every key is a crowd; shares from none to all, around the threshold."""
+    monkeypatch.setattr(nearcopies, "FEW", 1)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for k in range(160):
+        cut = rng.randint(80, 120)
+        rows.append((k, " ".join(base[:cut] + [f"o{k % 40}x{i}" for i in range(rng.randint(0, 30))]), "en"))
+    docs = spark.createDataFrame(rows, DOCS)
+    got = corpus_pipeline.keep_one_of_each(spark, docs, "")
+    assert sorted(r.doc_id for r in got.collect()) == sorted(brute(rows))
+    sets = {k: grams(t) for k, t, _ in rows}
+    packed = [(k, nearcopies.shingles(t.encode()).tobytes()) for k, t, _ in rows]
+    members = spark.createDataFrame([(k, len(sets[k]), k) for k in sets], "fp long, n long, label long")
+    pairs = nearcopies.crowded(members, spark.createDataFrame(packed, "fp long, s binary"))
+    found = {(r.a, r.b) for r in pairs.collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and near(sets[a], sets[b])}
+    assert want and want <= found
