@@ -65,8 +65,11 @@ def plan(pages: DataFrame, least: int = 0) -> DataFrame:
 def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """Writes a record per row of ``pages`` (page_id, url, html) below ``folder``; returns (path, size) of the archives.
 
-    A task writes under a name of its own and then renames, so a task that runs again replaces its
-    archive and leaves no half of one.
+    A task writes a draft and then renames it to a name that no other attempt has, so it never has to
+    replace a file, which not every file system does. The archives that count are those returned; an
+    attempt that was lost leaves a draft or an archive that nothing names. A record is made in memory,
+    so a payload has to fit into a task a few times. Further columns are ignored; an empty table
+    writes no archive.
     """
     arrow_batches(pages.sparkSession)
     revisits = written(plan(pages, least), "revisits").toDF("_id", "_digest", "owner")
@@ -80,7 +83,8 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
         task = TaskContext.get()
         fs, base = filesystem(folder)
         fs.create_dir(base, recursive=True)
-        final, draft = f"{base}/pages-{task.partitionId():06d}.warc.gz", f"{base}/_{task.partitionId():06d}-{uuid.uuid4().hex}"
+        name = f"{task.partitionId():06d}-{uuid.uuid4().hex}"
+        final, draft = f"{base}/pages-{name}.warc.gz", f"{base}/_{name}"
         size = 0
         out = None
         for batch in batches:
@@ -98,10 +102,10 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
 
 
 class Source:
-    """Reads a file in chunks from a position on."""
+    """Reads a file in chunks from a position on; each byte is moved a bounded number of times."""
 
     def __init__(self, handle, at: int):
-        self.handle, self.buffer, self.at = handle, b"", at
+        self.handle, self.buffer, self.at = handle, bytearray(), at
         handle.seek(at)
 
     def more(self) -> bool:
@@ -110,7 +114,8 @@ class Source:
         return bool(data)
 
     def skip(self, n: int) -> None:
-        self.buffer, self.at = self.buffer[n:], self.at + n
+        del self.buffer[:n]
+        self.at += n
 
 
 def member(source: Source) -> tuple[bytes, int] | None:
@@ -119,7 +124,7 @@ def member(source: Source) -> tuple[bytes, int] | None:
     while True:
         if used >= len(source.buffer) and not source.more():
             return None
-        piece = source.buffer[used:]
+        piece = bytes(source.buffer[used:])
         try:
             data = inflate.decompress(piece)
         except zlib.error:
@@ -223,6 +228,8 @@ def round_trip(pages: DataFrame, least: int = 0, split: int = SPLIT) -> DataFram
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every page, written and read back.
 
     A null html is an empty payload and a null url an empty one; rows that repeat come back as often.
+    A page without a page_id comes back without one. Payloads of any length are read in time linear in
+    them; further columns are ignored and an empty table gives an empty result.
     """
     spark = pages.sparkSession
     folder = fresh_path(spark, "warc")
