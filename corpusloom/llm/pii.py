@@ -111,6 +111,8 @@ _LOOSE = {
     2: re.compile(r"[0-9]{4}(?:[ ./_-]?[0-9]{2,7}){2,5}"),
     3: re.compile(r"(?:\+|00)?[ ]?\(?[0-9]{2,4}\)?(?:[ ./-]?\(?[0-9]{2,5}\)?){1,5}"),
 }
+#: Runs of digits that a segment of a kind can have at most, by the patterns above.
+_RUNS = {1: 4, 2: 6, 3: 6}
 _EXACT = {0: re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), 1: re.compile(r"[0-9]+(\.[0-9]+){3}"), 2: _CARD, 3: _PHONE}
 
 
@@ -140,9 +142,9 @@ def feature_names() -> dict[str, int]:
     return {n: i for i, n in enumerate(names)}
 
 
-def span_features(text: str, a: int, b: int, kind: int) -> list[int] | None:
-    """Features of text[a:b] as one entity of a kind; None if it cannot be one."""
-    span = text[a:b]
+@functools.lru_cache(maxsize=1 << 14)
+def inner_features(span: str, kind: int) -> tuple[int, ...] | None:
+    """Features of a segment by itself; None if it cannot be of the kind."""
     if not _LOOSE[kind].fullmatch(span):
         return None
     names, k = feature_names(), KINDS[kind]
@@ -166,14 +168,29 @@ def span_features(text: str, a: int, b: int, kind: int) -> list[int] | None:
     if kind in (2, 3):
         apart = {c for c in span if c in " ./_-"}
         out.append(("no separator", "one separator")[len(apart)] if len(apart) < 2 else "mixed separators")
-    before, after = text[a - 1 : a], text[b : b + 1]
+    return tuple(names[f"{k}:{f}"] for f in out)
+
+
+def start_features(text: str, a: int, kind: int) -> tuple[int, ...]:
+    """Features of what stands before a segment that starts at ``a``; the same for all its ends."""
+    names, before, out = feature_names(), text[a - 1 : a], []
     if before and (before.isalnum() or before in "+.-_/=#$€£"):
         out.append("left joined")
-    if after and (after.isalnum() or after in "-_/%=" or (after in ".,:" and text[b + 1 : b + 2].isdigit())):
-        out.append("right joined")
     if _CUES[kind].search(text[max(0, a - 24) : a]):
         out.append("cue")
-    return [names[f"{k}:{f}"] for f in out]
+    return tuple(names[f"{KINDS[kind]}:{f}"] for f in out)
+
+
+def span_features(text: str, a: int, b: int, kind: int, start: tuple[int, ...] | None = None) -> list[int] | None:
+    """Features of text[a:b] as one entity of a kind; None if it cannot be one. ``start`` are those of its start, if known."""
+    # only short segments are remembered, so the store is bounded in bytes too
+    own = (inner_features if b - a <= 64 else inner_features.__wrapped__)(text[a:b], kind)
+    if own is None:
+        return None
+    after = text[b : b + 1]
+    joined = after and (after.isalnum() or after in "-_/%=" or (after in ".,:" and text[b + 1 : b + 2].isdigit()))
+    right = [feature_names()[f"{KINDS[kind]}:right joined"]] if joined else []
+    return [*own, *(start_features(text, a, kind) if start is None else start), *right]
 
 
 def starts(text: str, start: int, stop: int):
@@ -197,19 +214,24 @@ def starts(text: str, start: int, stop: int):
         kinds = [1, 2, 3] if digit else [3] if text[a] in "+(" else []
         kinds = [k for k in kinds if _LOOSE[k].match(text, a, stop)]
         if digit or word:
-            near = text[a : a + 90].lower()
+            near = text[a : ahead[-1][1]].lower()
             if ("@" in near or " at" in near or "at]" in near or "at)" in near) and _LOOSE[0].match(text, a, stop):
                 kinds = [0, *kinds]
         out = []
         for kind in kinds:
+            runs, before = 0, start_features(text, a, kind)
             for j, (_, b) in enumerate(ahead, i + 1):
+                if kind and "0" <= text[b - 1] <= "9":
+                    runs += 1
+                    if runs > _RUNS[kind]:
+                        break
                 if kind and not (text[b - 1].isdigit() or text[b - 1] == ")"):
                     if text[b - 1].isalpha():
                         break
                     continue
                 if kind == 0 and not text[b - 1].isalnum():
                     continue
-                got = span_features(text, a, b, kind)
+                got = span_features(text, a, b, kind, before)
                 if got is not None:
                     out.append((i, j, kind, got, a, b))
         yield i, out
