@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import inverted, lexical, sparse, vectors
+from corpusloom.operators import inverted, lexical, prefixes, sparse, vectors
 from corpusloom.sources.storage import fresh_path, stored
 
 WORDS = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(200)]
@@ -179,3 +179,21 @@ def test_impacts(spark, corpus, k):
     if k == 1:  # the floors leave most of what the queries meet
         met = sum(len([d for d, w in kept.items() if set(w) & set(weights_of(text, df, len(rows)))]) for _, text in asked)
         assert sparse.candidates(impacts, weights, 1).count() < 0.6 * met
+
+
+def test_prefixes_of_wanted_beginnings(spark):
+    rng = random.Random(3)
+    titles = [" ".join(rng.choice(["tab", "tall", "ta", "a", "tabular", "be"]) for _ in range(rng.randint(0, 6))) for _ in range(400)] + [" TA  be\t"] * 3
+    plain_ = collections.Counter(" ".join(t.split()).lower() for t in titles)
+    del plain_[""]
+    want = {}
+    for t, n in plain_.items():
+        words = t.split(" ")
+        for p in {" ".join(words[i:])[:k] for i in range(len(words)) for k in range(1, 13)}:
+            if not p.endswith(" "):
+                want.setdefault(p, []).append((-1.0 if t.startswith(p) else -0.82, -n, t))
+    want = {(p, t, -s, -n, k + 1) for p, rows in want.items() for k, (s, n, t) in enumerate(sorted(rows)[:8])}
+    frame = spark.createDataFrame([(t,) for t in titles], "first string").repartition(5)
+    assert set(map(tuple, prefixes.index(frame, "first").collect())) == want
+    asked = spark.createDataFrame([("t",), ("ta",), ("tab be",), ("zz",)], "prefix string")
+    assert set(map(tuple, prefixes.index(frame, "first", wanted=asked).collect())) == {x for x in want if x[0] in ("t", "ta", "tab be")}
