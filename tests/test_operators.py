@@ -167,3 +167,20 @@ def test_compression_is_the_greedy_choice(spark):
         got.setdefault(r.query_id, []).append((r.pos, r.chunk_id, r.text))
     for q in range(12):
         assert sorted(got[q]) == plain_compress([r[2:] for r in rows if r[0] == q], 120, 0.82)
+
+
+def test_difflib_compares_only_what_may_reach_the_least(spark, monkeypatch):
+    import difflib
+
+    import corpusloom.operators.procedural as P
+
+    rows = [(0, "same text" * 30, "same text" * 30), (1, "abcdefgh" * 20, "abcdefgi" * 20), (2, "aaaa" * 20, "zzzz" * 20), (3, "short", "a much longer text than that"), (4, None, "x"), (5, "", "")]
+    frame = spark.createDataFrame(rows, "k int, x string, y string").repartition(4, "k")
+    whole = {r.k: r.s for r in frame.select("k", P.difflib_ratio(F.col("x"), F.col("y")).alias("s")).collect()}
+    assert whole == {k: difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for k, x, y in rows}
+    scored = frame.select("k", P.difflib_ratio(F.col("x"), F.col("y"), least=0.8).alias("s")).where("s >= 0.8")
+    assert {r.k: r.s for r in scored.collect()} == {k: s for k, s in whole.items() if s >= 0.8}
+    # the ratio is taken after the pairs are dealt, and once
+    assert scored._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("RepartitionByExpression")
