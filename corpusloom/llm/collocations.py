@@ -2,20 +2,21 @@
 
 Counting every phrase would shuffle the corpus several times over, so candidates come first. Pass one
 adds up a count-min sketch of all two-word phrases; pass two one of the longer phrases all of whose
-two-word parts may be frequent; pass three reads the texts again and names the phrases whose upper
+two-word parts may be frequent; pass three reads the texts again and counts the phrases whose upper
 bounds reach the threshold. A sketch only ever counts too much, so none is missed, and false
 candidates are thrown out by the exact counts.
 
-Then the candidates, in order of language and phrase, are cut into shards of a bounded size, and the
-texts of a shard's languages are scanned with it: each word of the shard becomes one character, every
-other word and every edge of a piece becomes the delimiter, and an Aho-Corasick automaton over these
-characters counts all matches, overlapping ones too. No match can cross a delimiter or begin within a
-word. Counts are summed over tasks; thresholds, scores and ranks follow.
+Pass three takes the texts in stretches of a bounded size and names the candidates that a stretch
+holds. Each of their words becomes one character, every other word and every edge of a piece becomes
+the delimiter, and an Aho-Corasick automaton over these characters counts all matches, overlapping
+ones too. No match can cross a delimiter or begin within a word. A stretch with more candidates than a
+shard is matched shard by shard; the number of candidates of the whole corpus bounds nothing and costs
+no further pass. Counts are summed over tasks; thresholds, scores and ranks follow.
 """
 
 from __future__ import annotations
 
-import itertools
+import collections
 import operator
 import uuid
 import zlib
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import arrow_batches, text_bytes, written
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-#: Phrases of a shard: its automaton stays small, and its words (five times as many at most) are fewer than there are characters.
+#: Phrases of a shard of a stretch: its automaton stays small, and its words (five times as many at most) are fewer than there are characters.
 SHARD = 200_000
 #: Counters of a sketch's row: one for so many bytes of text, a power of two within these bounds. The
 #: heavy ones are broadcast as bits, two rows of 32 MB at most; beyond that the bounds get looser and
@@ -37,12 +38,12 @@ SHARD = 200_000
 BYTES_A_COUNTER, FEWEST, MOST = 64, 1 << 16, 1 << 28
 #: Counters of a block, the unit in which sketches are summed.
 BLOCK = 1 << 16
-#: Counts of a shard that tasks send in one row.
-STRETCH = 1 << 12
 #: Slots that a task gathers before it sums them.
 FLUSH = 1 << 22
 #: Bytes of text that are hashed at once.
 CHUNK = 1 << 20
+#: Chunks of a stretch, the text that is matched at once.
+LOT = 8
 
 #: Ends of pieces become a byte that UTF-8 never has, tabs become spaces, A-Z become a-z.
 EDGE = b"\xff"
@@ -240,203 +241,128 @@ def spark_broadcast(df: DataFrame, value):
     return df.sparkSession.sparkContext.broadcast(value) if value is not None else None
 
 
-def candidates(texts: DataFrame, pairs: Bits, longer: Bits, longest: int) -> DataFrame:
-    """(lang, phrase, total): the phrases whose upper bounds reach the threshold, each once; rows without a phrase have a task's number of words.
+def tally(text: bytes, lang: str, pairs: Bits, longer: Bits, longest: int, shard: int = SHARD) -> tuple[int, collections.Counter]:
+    """The number of words of plain ``text``, and exact counts of its words and of its phrases whose upper bounds reach the threshold.
 
-    A task names each phrase that it meets once, and nearly all tasks meet the frequent ones, so names
-    travel in packs of a bucket and are only told apart where the buckets meet.
+    Each word of a shard's phrases becomes one character, other words and edges the guard, and an
+    automaton over these characters counts all matches.
+    """
+    words = Words(text, _salt(lang))
+    tokens = text.replace(EDGE, b" ").split()
+    counts = collections.Counter(tokens)
+    number = {w: k for k, w in enumerate(counts)}
+    ids = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
+    begins, sizes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for n, at, hashes in words.grams(longest, pairs.passes):
+        keep = np.flatnonzero((pairs if n == 2 else longer).passes(hashes))
+        order = keep[np.argsort(hashes[keep])]
+        at, hashes = at[order], hashes[order]
+        new = np.ones(len(at), bool)
+        new[1:] = hashes[1:] != hashes[:-1]
+        for k in range(n):  # hashes only bring equal phrases together; their words tell them apart
+            own = ids[at + k]
+            new[1:] |= own[1:] != own[:-1]
+        begins.append(at[new])
+        sizes.append(np.full(len(begins[-1]), n))
+    begin, size = np.concatenate(begins), np.concatenate(sizes)
+    edges = np.zeros(len(ids), np.int64)
+    edges[1:] = words.piece[1:] != words.piece[:-1]
+    place = np.arange(len(ids)) + np.cumsum(edges)
+    for low in range(0, len(begin), shard):
+        i, n = begin[low : low + shard], size[low : low + shard]
+        ends = np.cumsum(n)
+        own = ids[np.repeat(i - (ends - n), n) + np.arange(ends[-1])]
+        used = np.unique(own)
+        points = np.zeros(len(number), np.uint32)  # 0 is the guard
+        points[used] = np.arange(1, len(used) + 1)
+        points[points >= 0xD800] += 0x800  # around the surrogates
+        keys = points[own].astype("<u4").tobytes().decode("utf-32-le")
+        automaton = ahocorasick.Automaton()
+        for k, (x, y) in enumerate(zip((ends - n).tolist(), ends.tolist())):
+            automaton.add_word(keys[x:y], k)
+        automaton.make_automaton()
+        coded = np.zeros(place[-1] + 1, "<u4")
+        coded[place] = points[ids]
+        hits = np.fromiter(map(operator.itemgetter(1), automaton.iter(coded.tobytes().decode("utf-32-le"))), np.int64)
+        for x, y, c in zip(i.tolist(), (i + n).tolist(), np.bincount(hits, minlength=len(i)).tolist()):
+            if c:
+                counts[b" ".join(tokens[x:y])] = c
+    return len(tokens), counts
+
+
+def counted(texts: DataFrame, pairs: Bits, longer: Bits, longest: int, least: int, shard: int = SHARD) -> DataFrame:
+    """(lang, phrase, n, total): the words and the candidate phrases that occur ``least`` times or more, with exact counts; rows without a phrase have a task's number of words.
+
+    One pass over the texts: whatever a stretch of text does not hold counts nothing there, so a
+    stretch is only matched against its own candidates. A task's counts are summed, travel in packs of a
+    bucket and are added up where the buckets meet.
     """
     first, second = spark_broadcast(texts, pairs), spark_broadcast(texts, longer)
     buckets = max(8, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    def packs(lang, phrases):
-        by: dict[int, list[bytes]] = {}
-        for p in phrases:
-            by.setdefault(zlib.crc32(p) % buckets, []).append(p)
-        yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.int32()), pa.array([lang] * len(by), pa.string()), pa.array([EDGE.join(x) for x in by.values()], pa.binary()), pa.nulls(len(by), pa.int64())], ["bucket", "lang", "pack", "total"])
+    def packs(lang, sums):
+        by: dict[int, tuple[list, list]] = {}
+        for p, c in sums.items():
+            names, numbers = by.setdefault(zlib.crc32(p) % buckets, ([], []))
+            names.append(p)
+            numbers.append(c)
+        yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.int32()), pa.array([lang] * len(by), pa.string()), pa.array([EDGE.join(x) for x, _ in by.values()], pa.binary()), pa.array([np.array(c, np.int64).tobytes() for _, c in by.values()], pa.binary()), pa.nulls(len(by), pa.int64())], ["bucket", "lang", "pack", "counts", "total"])
 
     def run(batches):
-        seen: dict[str, set] = {}
-        found: dict[str, list[bytes]] = {}
+        held: dict[str, list[bytes]] = {}
+        sums: dict[str, collections.Counter] = {}
         totals: dict[str, int] = {}
+
+        def taken(lang):
+            text, at = EDGE.join(held.pop(lang)), 0
+            while at < len(text):  # stretches of whole pieces
+                cut = text.find(EDGE, at + LOT * CHUNK)
+                end = len(text) if cut < 0 else cut + 1
+                n, counts = tally(text[at:end], lang, first.value, second.value, longest, shard)
+                totals[lang] = totals.get(lang, 0) + n
+                sums.setdefault(lang, collections.Counter()).update(counts)
+                at = end
+                if len(sums[lang]) > 1 << 18:
+                    yield from packs(lang, sums.pop(lang))
+
         for batch in batches:
             for lang, text in _langs(batch).items():
-                words = Words(text, _salt(lang))
-                totals[lang] = totals.get(lang, 0) + len(words.hash)
-                phrases, old = found.setdefault(lang, []), seen.setdefault(lang, set())
-                for n, at, hashes in words.grams(longest, first.value.passes):
-                    keep = np.flatnonzero((first if n == 2 else second).value.passes(hashes))
-                    new, where = np.unique(hashes[keep], return_index=True)
-                    fresh = np.array([k for k, h in enumerate(new.tolist()) if h not in old], np.int64)
-                    begin = at[keep[where[fresh]]]
-                    phrases += [b" ".join(text[i:j].split()) for i, j in zip(words.begin[begin].tolist(), words.end[begin + n - 1].tolist())]
-                    old.update(new[fresh].tolist())
-                if len(old) > 1 << 20:  # what is forgotten is only named again
-                    old.clear()
-                if len(phrases) > 1 << 18:
-                    yield from packs(lang, found.pop(lang))
-        for lang, phrases in found.items():
-            yield from packs(lang, phrases)
+                held.setdefault(lang, []).append(text)
+            size = {lang: sum(map(len, x)) for lang, x in held.items()}
+            every = sum(size.values()) >= 4 * LOT * CHUNK
+            for lang, n in size.items():
+                if every or n >= LOT * CHUNK:
+                    yield from taken(lang)
+        for lang in list(held):
+            yield from taken(lang)
+        for lang, counts in sums.items():
+            yield from packs(lang, counts)
         if totals:
-            yield pa.RecordBatch.from_arrays([pa.array([k % buckets for k in range(len(totals))], pa.int32()), pa.array(list(totals), pa.string()), pa.nulls(len(totals), pa.binary()), pa.array(list(totals.values()), pa.int64())], ["bucket", "lang", "pack", "total"])
+            yield pa.RecordBatch.from_arrays([pa.array([k % buckets for k in range(len(totals))], pa.int32()), pa.array(list(totals), pa.string()), pa.nulls(len(totals), pa.binary()), pa.nulls(len(totals), pa.binary()), pa.array(list(totals.values()), pa.int64())], ["bucket", "lang", "pack", "counts", "total"])
 
-    def told_apart(batches):
-        at, names = None, set()
+    def added(batches):
+        at, sums = None, {}
 
         def out():
-            lang, every = at[1], list(names)
+            every = [(p, c) for p, c in sums.items() if c >= least]
             for k in range(0, len(every), 1 << 16):
-                part = [p.decode() for p in every[k : k + (1 << 16)]]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part, pa.string()), pa.nulls(len(part), pa.int64())], ["lang", "phrase", "total"])
+                part = every[k : k + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array([at[1]] * len(part), pa.string()), pa.array([p.decode() for p, _ in part], pa.string()), pa.array([c for _, c in part], pa.int64()), pa.nulls(len(part), pa.int64())], ["lang", "phrase", "n", "total"])
 
         for batch in batches:
-            for bucket, lang, pack, total in zip(*(batch.column(c).to_pylist() for c in ("bucket", "lang", "pack", "total"))):
+            for bucket, lang, pack, counts, total in zip(*(batch.column(c).to_pylist() for c in ("bucket", "lang", "pack", "counts", "total"))):
                 if pack is None:
-                    yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.nulls(1, pa.string()), pa.array([total], pa.int64())], ["lang", "phrase", "total"])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([total], pa.int64())], ["lang", "phrase", "n", "total"])
                     continue
                 if (bucket, lang) != at:
-                    if names:
-                        yield from out()
-                    at, names = (bucket, lang), set()
-                names.update(pack.split(EDGE))
-        if names:
-            yield from out()
-
-    packed = texts.mapInArrow(run, "bucket int, lang string, pack binary, total long")
-    return packed.repartition("bucket").sortWithinPartitions("bucket", "lang").mapInArrow(told_apart, "lang string, phrase string, total long")
-
-
-def words_of(phrases: list[str]) -> list[bytes]:
-    """The distinct words of phrases, in order."""
-    return sorted(set(itertools.chain.from_iterable(p.encode().split(b" ") for p in phrases)))
-
-
-class Matcher:
-    """An automaton over one character per word; ``counts`` adds up matches and the words of its phrases."""
-
-    GUARD = "\0"
-
-    def __init__(self, phrases: list[str]):
-        split = [p.encode().split(b" ") for p in phrases]
-        self.words = words_of(phrases)
-        # from 1 on, around the surrogates
-        points = [k + 1 if k + 1 < 0xD800 else k + 1 + 0x800 for k in range(len(self.words))]
-        self.points = np.array(points, np.uint32)
-        self.code = dict(zip(self.words, map(chr, points)))
-        self.automaton = ahocorasick.Automaton()
-        for k, words in enumerate(split):
-            self.automaton.add_word("".join(map(self.code.__getitem__, words)), k)
-        self.automaton.make_automaton()
-        self.phrase_counts, self.word_counts = np.zeros(len(phrases), np.int64), np.zeros(len(self.words), np.int64)
-
-    def clear(self) -> None:
-        self.phrase_counts[:] = self.word_counts[:] = 0
-
-    def add(self, text: bytes) -> None:
-        tokens = text.replace(EDGE, b" \xff ").split()
-        coded = "".join(map(self.code.get, tokens, itertools.repeat(self.GUARD)))
-        found = np.fromiter(map(operator.itemgetter(1), self.automaton.iter(coded)), np.int64)
-        self.phrase_counts += np.bincount(found, minlength=len(self.phrase_counts))
-        point = np.frombuffer(coded.encode("utf-32-le"), np.uint32)
-        at = np.searchsorted(self.points, point[point > 0])
-        self.word_counts += np.bincount(at, minlength=len(self.word_counts))
-
-
-#: A worker's matchers of the shard that it scanned last.
-_BUILT: dict[str, dict[str, Matcher]] = {}
-
-
-def shard_counts(texts: DataFrame, phrases: list, name: str) -> DataFrame:
-    """(lang, id, word, n): the matches of the shard's ``phrases`` (lang, phrase, id) and the occurrences of their words.
-
-    A task's counts travel as stretches of numbers, phrases first, then words in order, and are added
-    up where the stretches meet.
-    """
-    by: dict[str, tuple[list, list]] = {}
-    for r in phrases:
-        texts_, ids = by.setdefault(r.lang, ([], []))
-        texts_.append(r.phrase)
-        ids.append(r.id)
-    sent = spark_broadcast(texts, by)
-
-    def run(batches):
-        if name not in _BUILT:
-            _BUILT.clear()
-            _BUILT[name] = {}
-        built, used = _BUILT[name], set()
-        for batch in batches:
-            for lang, text in _langs(batch).items():
-                if lang not in sent.value:
-                    continue
-                if lang not in built:
-                    built[lang] = Matcher(sent.value[lang][0])
-                if lang not in used:  # whatever an earlier task left
-                    used.add(lang)
-                    built[lang].clear()
-                # a long batch in stretches of whole pieces
-                at = 0
-                while at < len(text):
-                    cut = text.find(EDGE, at + 4 * CHUNK)
-                    end = len(text) if cut < 0 else cut + 1
-                    built[lang].add(text[at:end])
-                    at = end
-        for lang in used:
-            counts = np.concatenate([built[lang].phrase_counts, built[lang].word_counts])
-            parts = [(k, counts[k : k + STRETCH].tobytes()) for k in range(0, len(counts), STRETCH)]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(parts), pa.string()), pa.array([k for k, _ in parts], pa.int64()), pa.array([x for _, x in parts], pa.binary())], ["lang", "first", "counts"])
-
-    def added(batches):
-        at, total, words = None, None, {}
-
-        def out():
-            lang, first = at
-            own, ids = sent.value[lang]
-            if lang not in words:
-                words[lang] = words_of(own)
-            places = np.flatnonzero(total) + first
-            n = total[places - first]
-            split = int(np.searchsorted(places, len(ids)))
-            id_ = pa.concat_arrays([pa.array(np.array(ids, np.int64)[places[:split]]), pa.nulls(len(places) - split, pa.int64())])
-            word = pa.array([None] * split + [words[lang][k - len(ids)].decode() for k in places[split:].tolist()], pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(places), pa.string()), id_, word, pa.array(n)], ["lang", "id", "word", "n"])
-
-        for batch in batches:
-            for lang, first, counts in zip(*(batch.column(c).to_pylist() for c in ("lang", "first", "counts"))):
-                if (lang, first) != at:
-                    if at:
-                        yield from out()
-                    at, total = (lang, first), 0
-                total = total + np.frombuffer(counts, np.int64)
-        if at:
-            yield from out()
+                    yield from out()
+                    at, sums = (bucket, lang), {}
+                for p, c in zip(pack.split(EDGE), np.frombuffer(counts, np.int64).tolist()):
+                    sums[p] = sums.get(p, 0) + c
+        yield from out()
 
-    langs = list(by)
-    own = texts.where(F.col("lang").isin(langs)) if len(langs) <= 64 else texts
-    parts = own.mapInArrow(run, "lang string, first long, counts binary")
-    return parts.repartition("lang", "first").sortWithinPartitions("lang", "first").mapInArrow(added, "lang string, id long, word string, n long")
-
-
-def counted(texts: DataFrame, named: DataFrame, shard: int = SHARD) -> DataFrame:
-    """(lang, phrase, n): exact counts of the phrases ``named`` (lang, phrase), distinct, and of their words."""
-    spark = texts.sparkSession
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = written(named.repartitionByRange(parts, "lang", "phrase").sortWithinPartitions("lang", "phrase").withColumn("at", F.monotonically_increasing_id()), "phrases")
-    # a row for each part, to turn places in parts into places of all
-    spans = dealt.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count(F.lit(1)).alias("n"))
-    spans = spans.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n") - F.shiftleft("part", 33)).alias("shift"))
-    numbered = written(dealt.join(spans, F.shiftright("at", 33) == F.col("part")).select("lang", "phrase", (F.col("at") + F.col("shift")).alias("id")), "numbered")
-    size = numbered.count()
-    if not size:
-        return named.select("lang", "phrase", F.lit(0).cast("long").alias("n"))
-    found = None
-    for low in range(0, size, shard):
-        phrases = numbered.where((F.col("id") >= low) & (F.col("id") < low + shard)).collect()  # a shard at most
-        part = written(shard_counts(texts, phrases, uuid.uuid4().hex), "counts")
-        found = part if found is None else found.unionByName(part)
-    exact = numbered.join(found.where("id is not null").select("id", "n"), "id").select("lang", "phrase", "n")
-    # a word of several shards was counted in each, always whole
-    words = found.where("id is null").groupBy("lang", F.col("word").alias("phrase")).agg(F.max("n").alias("n"))
-    return exact.unionByName(words)
+    packed = texts.mapInArrow(run, "bucket int, lang string, pack binary, counts binary, total long")
+    return packed.repartition("bucket").sortWithinPartitions("bucket", "lang").mapInArrow(added, "lang string, phrase string, n long, total long")
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, covered: int = 100, shard: int = SHARD) -> DataFrame:
@@ -457,10 +383,10 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     width = min(MOST, max(FEWEST, 1 << (size // BYTES_A_COUNTER).bit_length()))
     pairs = sketch(texts, width, least, longest)
     longer = sketch(texts, width, least, longest, pairs)
-    named = written(candidates(texts, pairs, longer, longest), "named")
+    named = written(counted(texts, pairs, longer, longest, least, shard), "counts")
     totals = named.where("phrase is null").groupBy("lang").agg(F.sum("total").alias("n"))
-    found = counted(texts, named.where("phrase is not null").select("lang", "phrase"), shard)
-    found = written(found.withColumn("w", F.split("phrase", " ")).where((F.size("w") == 1) | (F.col("n") >= least)), "found")
+    # words of a phrase that counts occur as often at least, so what is rarer has been left behind
+    found = named.where("phrase is not null").select("lang", "phrase", "n", F.split("phrase", " ").alias("w"))
 
     phrases = found.where(F.size("w") > 1).select("lang", "phrase", "w", F.col("n").alias("a"))
     inner = "flatten(transform(sequence(2, size(w) - 1), k -> transform(sequence(1, size(w) - k + 1), i -> array_join(slice(w, i, k), ' '))))"

@@ -71,3 +71,25 @@ def test_bounds_are_upper_bounds(spark):
     n, at, hashes = next(iter(words.grams(2)))
     unique, count = np.unique(hashes, return_counts=True)
     assert bits.passes(unique[count >= 5]).all() and not bits.passes(unique[count < 5]).all()
+
+
+def test_one_pass_whatever_the_number_of_candidates(spark):
+    """Candidates beyond a shard must not cost another scan of the texts."""
+    rows = [(1, "en", " ".join(f"w{k % 50} v{k % 50}" for k in range(600)), "", 1)] * 3
+    table = spark.createDataFrame(rows, SCHEMA)
+    spark.range(1).count()
+
+    def jobs(shard):
+        spark.sparkContext.setJobGroup(f"shard-{shard}", "")
+        found = C.collocations(table, least=12, top=40, shard=shard).collect()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"shard-{shard}")), found
+
+    (one, found), (many, same) = jobs(C.SHARD), jobs(7)
+    assert one == many and found == same and len(found) > 7
+
+
+def test_phrases_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(C, "_mixed", lambda x: x & np.uint64(1))
+    bits = C.Bits(C.FEWEST, {k: b"\xff" * (C.BLOCK // 8) for k in range(2)})
+    n, counts = C.tally(b"a b c a b\xffa b", "en", bits, bits, 3)
+    assert n == 7 and counts == {b"a": 3, b"b": 3, b"c": 1, b"a b": 3, b"b c": 1, b"c a": 1, b"a b c": 1, b"b c a": 1, b"c a b": 1}
