@@ -186,6 +186,25 @@ def embedded(rows: DataFrame, key: str, tokens, model: Callable | None = None, b
     return rows.select(F.col(key).cast("long").alias(key), tokens.alias("_tokens")).mapInArrow(run, f"{key} long, embedding array<double>")
 
 
+def embedded_counts(rows: DataFrame, key: str, counts: str = "c", size: int = 64) -> DataFrame:
+    """(key, embedding) as ``hash_embedding`` gives them, of ``rows`` with counted terms, an array of (term, tf): each term of a batch is placed once."""
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                part = whole.slice(at, ROWS)
+                many = pa.compute.list_value_length(part.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
+                flat = part.column(1).flatten()
+                terms = flat.field(0).dictionary_encode()
+                places = np.array([_place(t, size) for t in terms.dictionary.to_pylist()], np.int64)
+                cell = np.repeat(np.arange(len(many)), many) * size + places[terms.indices.to_numpy(zero_copy_only=False)]
+                vectors = np.bincount(cell, flat.field(1).to_numpy(zero_copy_only=False), len(many) * size)
+                ends = pa.array(np.arange(0, len(vectors) + 1, size, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(vectors, pa.float64()))], [key, "embedding"])
+
+    return rows.select(F.col(key).cast("long").alias(key), counts).mapInArrow(run, f"{key} long, embedding array<double>")
+
+
 def refreshed(store: DataFrame | None, rows: DataFrame, key: str, text: str, tokens, model: Callable | None = None) -> DataFrame:
     """(key, hash, embedding): the store after an ingest of ``rows``: only rows whose text's hash changed are embedded again, rows that are gone go."""
     new = rows.select(key, F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("hash"), tokens.alias("_tokens"))

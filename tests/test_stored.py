@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import inverted, lexical, prefixes, sparse, vectors
+from corpusloom.plans import retrieval
 from corpusloom.sources.storage import fresh_path, stored
 
 WORDS = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(200)]
@@ -138,6 +139,22 @@ def test_only_changed_texts_are_embedded_again(spark):
     assert all(got[r[0]] == r[1] for r in vectors.embedded(later, "doc_id", tokens, model).collect())
 
 
+def test_vectors_of_counted_terms(spark):
+    docs = spark.createDataFrame([(1, "two two three"), (2, None), (3, ""), (4, " ".join(f"w{'abc'[k % 3]}" for k in range(500))), (5, "Three é x")], "doc_id long, text string")
+    tokens = T.tokenize(F.col("text"))
+    want = {r.doc_id: r.embedding for r in vectors.embedded(docs, "doc_id", tokens).collect()}
+    rows = docs.select("doc_id", inverted.counts(tokens).alias("c")).coalesce(1)
+    assert {r.doc_id: r.embedding for r in vectors.embedded_counts(rows, "doc_id").collect()} == want and sum(want[4]) == 500
+
+
+def test_documents_of_an_index_are_not_read_again_for_their_vectors(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(k, f"text {'abc'[k % 3]} {WORDS[k]}") for k in range(40)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    retrieval.documents_index(spark, str(tmp_path))
+    monkeypatch.setattr(T, "tokenize", None)
+    assert retrieval.document_vectors(spark, str(tmp_path)).count() == 40
+
+
 @pytest.mark.parametrize("most", [0, 20, 1000])
 def test_weights_with_few_terms_sent(spark, corpus, most):
     docs, _, rows, _ = corpus
