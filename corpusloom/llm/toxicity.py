@@ -27,6 +27,10 @@ ORDERS = (3, 5, 7)
 BITS = {2: 18, 3: 18, 4: 19, 5: 19, 6: 20, 7: 21}
 #: Probabilities are held in half precision, times this.
 HALF = 1024
+#: Buckets of a block: counts leave a task, meet and become a model block by block, 4 MB each.
+BLOCK = 1 << 18
+#: (order, first bucket) of each block.
+BLOCKS = [(order, at) for order in ORDERS for at in range(0, 1 << BITS[order], BLOCK)]
 DISCOUNT = 0.9
 #: Bound of the labelled sample: documents of each class, those of the smallest hashes.
 TOXIC_ROWS, ORDINARY_ROWS = 4000, 8000
@@ -84,18 +88,24 @@ class Counts:
             if i:
                 self.suffix[order][own] = np.maximum(self.suffix[order][own], grams[ORDERS[i - 1]][first])
 
-    def arrays(self) -> list[np.ndarray]:
-        return [x for order in ORDERS for x in (self.n[order], self.context[order], self.suffix[order])]
+    def block(self, i: int) -> np.ndarray:
+        """Block ``i``: rows of the two classes' documents, contexts and suffixes."""
+        order, at = BLOCKS[i]
+        own = slice(at, at + BLOCK)
+        return np.stack([*self.n[order][:, own], self.context[order][own], self.suffix[order][own]])
 
-    def dump(self) -> bytes:
-        return zlib.compress(b"".join(x.tobytes() for x in self.arrays()), 1)
+    def put(self, i: int, block: np.ndarray) -> None:
+        order, at = BLOCKS[i]
+        own = slice(at, at + BLOCK)
+        self.n[order][:, own], self.context[order][own], self.suffix[order][own] = block[:2], block[2], block[3]
 
-    def merge(self, blob: bytes) -> None:
-        data, at = zlib.decompress(blob), 0
-        for i, x in enumerate(self.arrays()):
-            part = np.frombuffer(data, np.int32, x.size, at).reshape(x.shape)
-            at += x.nbytes
-            x[...] = x + part if i % 3 == 0 else np.maximum(x, part)
+
+def packed(block: np.ndarray) -> bytes:
+    return zlib.compress(block, 1)
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(blob), np.int32).reshape(4, -1)
 
 
 class Model:
@@ -104,23 +114,29 @@ class Model:
     def __init__(self, counts: Counts, discount: float = DISCOUNT):
         self.tables = {}
         for i, order in enumerate(ORDERS):
-            n = counts.n[order].astype(np.float64)
+            n = counts.n[order]
             if order != ORDERS[-1]:
                 # below the top order an n-gram counts the longer ones that end in it
                 longer, suffix = counts.n[ORDERS[i + 1]], counts.suffix[ORDERS[i + 1]]
-                ending = lambda some: np.bincount(np.maximum(suffix, 0), some & (suffix >= 0), 1 << BITS[order])
-                n = np.stack([ending(longer.sum(axis=0) > 0)] if i == 0 else [ending(x > 0) for x in longer])
-            rows = []
-            for own in n:
-                known = (own > 0) & (counts.context[order] >= 0)
-                at = np.maximum(counts.context[order], 0)
-                size = 1 << BITS[order - 1]
-                total, kinds = np.bincount(at, own * known, size), np.bincount(at, known, size)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    keep = np.where(known, np.maximum(own - discount, 0) / total[at], 0.0)
-                    back = np.where(total > 0, discount * kinds / total, 1.0)
-                rows.append(tuple((HALF * np.minimum(x, 1.0)).astype(np.float16) for x in (keep, back)))
-            self.tables[order] = rows
+                ending = lambda some: np.bincount(suffix[some & (suffix >= 0)], minlength=1 << BITS[order])
+                n = [ending(longer.sum(axis=0) > 0)] if i == 0 else [ending(x > 0) for x in longer]
+            self.tables[order] = [self._ratios(own, counts.context[order], 1 << BITS[order - 1], discount) for own in n]
+
+    @staticmethod
+    def _ratios(own: np.ndarray, context: np.ndarray, size: int, discount: float) -> tuple[np.ndarray, np.ndarray]:
+        """Discounted shares of n-grams that ``own`` counts, and backoff weights of ``size`` contexts; in blocks, which bounds what is held beside the tables."""
+        held = [np.flatnonzero((own[at : at + BLOCK] > 0) & (context[at : at + BLOCK] >= 0)) + at for at in range(0, len(own), BLOCK)]
+        total, kinds = np.zeros(size), np.zeros(size)
+        for some in held:
+            total += np.bincount(context[some], own[some], size)
+            kinds += np.bincount(context[some], minlength=size)
+        half = lambda x: (HALF * np.minimum(x, 1.0)).astype(np.float16)
+        keep = np.zeros(len(own), np.float16)
+        for some in held:
+            keep[some] = half(np.maximum(own[some] - discount, 0) / total[context[some]])
+        back = np.ones(size)
+        np.divide(discount * kinds, total, out=back, where=total > 0)
+        return keep, half(back)
 
     def _step(self, grams: dict, order: int, label: int, lower) -> np.ndarray:
         keep, back = self.tables[order][label]
@@ -210,19 +226,26 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordina
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 counts.add(text, label)
-        yield pa.RecordBatch.from_pydict({"k": pa.array([0], pa.int32()), "blob": pa.array([counts.dump()], pa.binary())})
+        for i in range(len(BLOCKS)):
+            yield pa.RecordBatch.from_pydict({"i": pa.array([i], pa.int32()), "blob": pa.array([packed(counts.block(i))], pa.binary())})
 
     def merge(table):
+        first, *others = table["blob"]
+        block = unpacked(first.as_py()).copy()
+        for blob in others:
+            part = unpacked(blob.as_py())
+            block[:2] += part[:2]
+            np.maximum(block[2:], part[2:], out=block[2:])
+        return pa.table({"i": table["i"][:1], "blob": pa.array([packed(block)], pa.binary())})
+
+    def model() -> Model:
         counts = Counts()
-        for blob in table["blob"]:
-            counts.merge(blob.as_py())
-        return pa.table({"blob": pa.array([counts.dump()], pa.binary())})
-
-    parts = rows.where("part <> 3").select("t", "toxic").coalesce(COUNTERS).mapInArrow(count, "k int, blob binary")
-    counts = Counts()
-    for row in parts.groupBy("k").applyInArrow(merge, "blob binary").collect():  # one row
-        counts.merge(bytes(row.blob))
-    held = spark.sparkContext.broadcast(Model(counts))
+        parts = rows.where("part <> 3").select("t", "toxic").coalesce(COUNTERS).mapInArrow(count, "i int, blob binary")
+        for row in parts.groupBy("i").applyInArrow(merge, "i int, blob binary").collect():  # a row for each of BLOCKS
+            counts.put(row.i, unpacked(bytes(row.blob)))
+        return Model(counts)
+
+    held = spark.sparkContext.broadcast(model())
 
     def measure(batches):
         for batch in batches:
