@@ -31,6 +31,8 @@ BANDS, MINIMA = 32, 4
 FEW = 16
 #: Shingles whose minima are taken at once.
 BLOCK = 4096
+#: Places of a class's bitmap.
+PLACES = 1024
 
 
 def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
@@ -146,27 +148,41 @@ def unpacked(sets: DataFrame) -> DataFrame:
     return sets.select("fp", "s").mapInArrow(run, "fp long, h long")
 
 
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """(fp, bits): for each of ``PLACES`` whether an odd number of the shingles of ``sets`` (fp, s) falls on it; two classes differ in as many shingles as places at least."""
+
+    def run(batches):
+        for batch in batches:
+            odd = [np.packbits(np.bincount(np.frombuffer(s.as_buffer(), np.uint64).view(np.int64) & (PLACES - 1), minlength=PLACES).astype(np.uint8) & 1).view(np.int64) for s in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(odd, pa.list_(pa.int64()))], ["fp", "bits"])
+
+    return sets.select("fp", "s").mapInArrow(run, "fp long, bits array<long>")
+
+
 def crowded(members: DataFrame, sets: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     """(a, b): the pairs of ``members`` (fp, n, label) of two labels that can have a Jaccard of ``jaccard``; none that has it is missing.
 
     With the shingles of each class in one order, rarest first, such a pair shares one among the first
     n - ceil(j n) + 1 of the larger class and the first n - ceil(2 j n / (1 + j)) + 1 of the smaller;
     and where the first shared one stands says how many can follow. Shingles of one class alone only
-    take up places.
+    take up places. Pairs whose bitmaps differ in more places than the threshold lets shingles differ go.
     """
-    rows = written(unpacked(sets.join(members.select("fp"), "fp")), "shingles")
+    own = written(sets.join(members.select("fp"), "fp"), "crowded")
+    rows = written(unpacked(own), "shingles")
     shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     order = rows.join(shared, "h").groupBy("fp").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("o")).join(members, "fp")
     # a little less before rounding up, so that no rank is lost to the last digit
     reach = {side: F.col("n") - F.ceil(part * F.col("n") - 1e-9) + 1 for side, part in (("probe", jaccard), ("index", 2 * jaccard / (1 + jaccard)))}
     alone = F.col("n") - F.size("o")
     order = order.select("fp", "n", "label", alone.alias("alone"), reach["index"].alias("index"), F.slice("o", 1, F.greatest(F.lit(0), reach["probe"] - alone).cast("int")).alias("o")).where("size(o) > 0")
-    order = order.select("fp", "n", "label", "alone", "index", F.posexplode("o").alias("i", "e"))
-    order = written(order.select("fp", "n", "label", "index", (F.col("alone") + F.col("i") + 1).alias("rank"), F.col("e.h").alias("h")), "rarest")
-    small = order.where("rank <= index").select("h", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("rank").alias("ra"))
-    large = order.select("h", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("rank").alias("rb"))
+    order = order.join(bitmaps(own), "fp").select("fp", "n", "label", "alone", "index", "bits", F.posexplode("o").alias("i", "e"))
+    order = written(order.select("fp", "n", "label", "index", "bits", (F.col("alone") + F.col("i") + 1).alias("rank"), F.col("e.h").alias("h")), "rarest")
+    small = order.where("rank <= index").select("h", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("rank").alias("ra"), F.col("bits").alias("xa"))
+    large = order.select("h", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("rank").alias("rb"), F.col("bits").alias("xb"))
     fit = (F.col("na") >= jaccard * F.col("nb") - 1e-9) & (1 + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) >= jaccard / (1 + jaccard) * (F.col("na") + F.col("nb")) - 1e-9)
-    found = small.join(large, "h").where("a <> b and la <> lb and na <= nb").where(fit)
+    differ = F.aggregate(F.zip_with("xa", "xb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    near = differ <= (1 - jaccard) / (1 + jaccard) * (F.col("na") + F.col("nb")) + 1e-9
+    found = small.join(large, "h").where("a <> b and la <> lb and na <= nb").where(fit).where(near)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
