@@ -184,3 +184,16 @@ def test_difflib_compares_only_what_may_reach_the_least(spark, monkeypatch):
     assert scored._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
     plan = scored._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("ArrowEvalPython") < plan.index("RepartitionByExpression")
+
+
+def test_difflib_compares_whole_texts(spark):
+    import difflib
+
+    import corpusloom.operators.procedural as P
+
+    rng = __import__("random").Random(4)
+    # the first 12,000 characters are the same, what follows is not
+    head = "".join(rng.choice("abcdefgh ") for _ in range(12_000))
+    one, two = head + "x" * 4_000, head + "y" * 4_000
+    got = spark.createDataFrame([(one, two)], "x string, y string").select(P.difflib_ratio(F.col("x"), F.col("y")).alias("s")).first().s
+    assert got == difflib.SequenceMatcher(None, one, two).ratio() < 0.9
