@@ -573,6 +573,15 @@ def little_texts():
     return [[*words(random.Random(i), n).encode().split(), lm.END] for i, n in enumerate((0, 1, 9, 40, 333))]
 
 
+def test_every_pair_inside_a_word_is_held(spark, monkeypatch):
+    monkeypatch.setattr(lm, "PAIRS", 3, raising=False)
+    texts = little_texts()
+    _, want, _ = little_vocabulary(texts)
+    frame = spark.createDataFrame([(bytearray(b" ".join(t[:-1])),) for t in texts], "t binary")
+    got = lm.learn_vocabulary(lm.packed(lm.word_counts(frame)))
+    assert len(want.keys) > 3 and (got.keys == want.keys).all() and (got.pairs == want.pairs).all() and (got.totals == want.totals).all()
+
+
 def test_slope_is_the_losses_derivative():
     model, rng = lm.Attention(), np.random.default_rng(1)
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
