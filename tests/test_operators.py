@@ -197,3 +197,52 @@ def test_difflib_compares_whole_texts(spark):
     one, two = head + "x" * 4_000, head + "y" * 4_000
     got = spark.createDataFrame([(one, two)], "x string, y string").select(P.difflib_ratio(F.col("x"), F.col("y")).alias("s")).first().s
     assert got == difflib.SequenceMatcher(None, one, two).ratio() < 0.9
+
+
+def test_near_duplicates_move_the_hashes_of_candidates_only(spark, monkeypatch):
+    rng = __import__("random").Random(8)
+    text = lambda: [f"w{rng.randrange(500)}" for _ in range(60)]
+    rows = []
+    for i in range(40):
+        words = text()
+        rows.append((2 * i, rng.choice("xy"), " ".join(words)))
+        if i % 2:
+            words[rng.randrange(60)] = "other"
+        # a near copy or a copy, of another group at times, at times of none
+        rows.append((2 * i + 1, rng.choice(["x", "y", None]) if i % 4 else rows[-1][1], " ".join(words if i % 3 else text())))
+    docs = spark.createDataFrame(rows, "k long, g string, t string")
+    grams = lambda t: {tuple(w[j : j + 5]) for w in [t.split()] for j in range(len(w) - 4)}
+    want = set()
+    for a, g, t in rows:
+        for b, h, u in rows:
+            both = len(grams(t) & grams(u)) / len(grams(t) | grams(u))
+            if a < b and g is not None and g == h and both >= 0.5:
+                want.add((a, b, round(both, 6)))
+    found = lambda: C.near_duplicates(docs, "k", "g", F.col("t"), threshold=0.5)
+    shown = lambda frame: {(r.a, r.b, round(r.similarity, 6)) for r in frame.collect()}
+    frame = found()
+    assert shown(frame) == want and any(s < 1 for *_, s in want) and any(s == 1 for *_, s in want)
+    # copies and texts without a candidate leave before anything is moved: the wanted keys come to them
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "strategy=broadcast" in plan and "LeftAnti" not in plan
+    monkeypatch.setattr(C, "SENT", 0)
+    assert shown(found()) == want
+
+
+def test_near_difflib_is_the_ratio_of_its_candidates(spark, tmp_path):
+    import difflib
+
+    from corpusloom.plans.corpus import dup_near_difflib
+
+    rng = __import__("random").Random(9)
+    rows = []
+    for i in range(12):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)]
+        for j, own in enumerate((words, words, [*words[:-1], "other"], words + words[: 4 * i])):
+            rows.append((4 * i + j, "x", " ".join(own)))
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.a, r.b): r.similarity for r in dup_near_difflib(spark, str(tmp_path)).collect()}
+    pairs = C.near_duplicates(spark.createDataFrame(rows, "doc_id long, lang string, text string"), "doc_id", "lang", F.col("text"), threshold=0.5)
+    ratio = lambda a, b: round(difflib.SequenceMatcher(None, rows[a][2], rows[b][2]).ratio(), 4)
+    every = {(r.a, r.b): ratio(r.a, r.b) for r in pairs.collect()}
+    assert got == {k: s for k, s in every.items() if s >= 0.9} and len(got) < len(every) and 1.0 in got.values() and min(got.values()) < 1
